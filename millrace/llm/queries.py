@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import table
 
-from . import canon, neardup
+from . import canon, mixing, neardup, splits, tokenise
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,10 +31,37 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_groups(_pool_texts(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.family_rows(table(spark, d, "candidates"))
+
+
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_candidates(spark, table(spark, d, "candidates"), table(spark, d, "split_targets"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenise.encode_documents(table(spark, d, "documents"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix(mixing.sized_documents(table(spark, d, "documents"), targets), targets)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_shares(mixing.sized_documents(table(spark, d, "documents"), targets), targets)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_canonical": p1_canonical,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_splits": p3_splits,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
 }
 SQL: dict[str, str] = {}
