@@ -11,6 +11,7 @@ follow. Two words that look the same have the same deciding letters, so they alw
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -77,12 +78,11 @@ TO_CYRILLIC = {latin: char for char, latin in reversed(list(zip(CYRILLIC, CYRILL
 TO_GREEK = {latin: char for char, latin in reversed(list(zip(GREEK, GREEK_AS, strict=True)))}
 _TRANSLATE = {ord(c): form for c, form in TABLE.items()}
 
-UNIT = regex.compile(
-    r"\p{Extended_Pictographic}[\p{EMod}\ufe0f]*(?:\u200d\p{Extended_Pictographic}[\p{EMod}\ufe0f]*)+"
-    r"|[\p{L}\p{M}\p{N}\p{Cf}]*[^\x00-\x7F][\p{L}\p{M}\p{N}\p{Cf}]*"
-    r"|[\t-\r\x1c-\x1f]",
-    regex.V1,
-)
+#: The longest unit around characters beyond ASCII: a run of them with the ASCII letters and digits they touch.
+UNIT = re.compile(r"[A-Za-z0-9]*[^\x00-\x7f]+(?:[A-Za-z0-9]+[^\x00-\x7f]+)*[A-Za-z0-9]*")
+#: Inside a unit, joined emoji are one cluster and keep their joiners.
+EMOJI = regex.compile(r"(\p{Extended_Pictographic}[\p{EMod}\ufe0f]*(?:\u200d\p{Extended_Pictographic}[\p{EMod}\ufe0f]*)+)")
+CONTROLS = {ord(c): " " for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"}
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 
 
@@ -112,31 +112,32 @@ def _script(word: str) -> str:
     return "".join(LOOKS.get(c, c) for c in word) if odd else word
 
 
-@lru_cache(maxsize=100_000)
 def _rewrite(unit: str) -> str:
+    if "\u200d" in unit and EMOJI.search(unit):
+        parts = EMOJI.split(unit)
+        return "".join(p.replace("\ufe0f", "") if k % 2 else _rewrite(p) for k, p in enumerate(parts))
     out = unit.translate(_TRANSLATE)
-    if not out.isascii():
-        out = unicodedata.normalize("NFC", out)
-        out = WORD.sub(lambda m: _script(m.group()), out) if not m_han(out) else out
-    return out
+    if out.isascii():
+        return out
+    out = unicodedata.normalize("NFC", out)
+    return WORD.sub(lambda m: _script(m.group()), out) if _ALIKE.search(out) else out
 
 
-def m_han(text: str) -> bool:
-    return all("⺀" <= c for c in text)
+#: Only units with Greek or Cyrillic letters can hold look-alikes.
+_ALIKE = re.compile(r"[\u0370-\u03ff\u0400-\u052f]")
+_remembered = lru_cache(maxsize=50_000)(_rewrite)
 
 
-def _unit(match: regex.Match) -> str:
+def _unit(match: re.Match) -> str:
     unit = match.group()
-    if "\u200d" in unit and regex.match(r"\p{Extended_Pictographic}", unit):
-        return unit.replace("\ufe0f", "")
-    return _rewrite(unit) if len(unit) <= 64 else _rewrite.__wrapped__(unit)
+    return _remembered(unit) if len(unit) <= 32 else _rewrite(unit)
 
 
 def canonical(text: str) -> str:
     """The one form of ``text``. Idempotent. Letter case, accents, punctuation and the number of blanks are kept."""
-    if text.isascii() and text.isprintable():
-        return text
-    return UNIT.sub(_unit, text)
+    if not text.isascii():
+        text = UNIT.sub(_unit, text)
+    return text if text.isprintable() else text.translate(CONTROLS)
 
 
 @F.pandas_udf(StringType())

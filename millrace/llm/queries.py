@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import table
 
-from . import canon, mixing, neardup, splits, tokenise
+from . import canon, language, mixing, neardup, overlap, pairdefects, splits, tokenise
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +39,30 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_candidates(spark, table(spark, d, "candidates"), table(spark, d, "split_targets"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "samples"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "samples"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_or_mixed(table(spark, d, "samples"))
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_report(table(spark, d, "samples"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairdefects.defective(table(spark, d, "predictions"), table(spark, d, "samples"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return pairdefects.defect_report(table(spark, d, "predictions"), table(spark, d, "samples"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenise.encode_documents(table(spark, d, "documents"))
 
@@ -60,6 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_segments": p5_segments,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,

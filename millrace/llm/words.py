@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import regex
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ NEAR_SAME = 0.8
 
 #: The same word rule for Java's and Python's engines: a Chinese character is a word by itself.
 JAVA_WORD = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
-PY_WORD = regex.compile(r"\p{Han}|[[\p{L}\p{N}]--\p{Han}]+", regex.V1)
+_HAN = "\u2e80-\u2fdf\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+PY_WORD = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+")
 
 
 def word_list(text: Column) -> Column:
