@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import table
 
-from . import canon, language, mixing, neardup, overlap, pairdefects, splits, tokenise
+from . import abuse, canon, language, mixing, neardup, overlap, pairdefects, splits, tokenise
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +77,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(mixing.sized_documents(table(spark, d, "documents"), targets), targets)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abusive(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scored(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_rates(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_canonical": p1_canonical,
@@ -93,5 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 SQL: dict[str, str] = {}
