@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes
+from . import changes, rollout
 
-MODULES = (changes,)
+MODULES = (changes, rollout)
 FLAGSHIP = "p6_found"
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
