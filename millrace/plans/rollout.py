@@ -24,7 +24,7 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER))
     return rows.select(
-        F.col("l_orderkey").alias("traj_id"), (F.col("l_orderkey") % 400).alias("uid"), place.alias("pos"), F.col("l_discount").alias("reward"), F.col("l_tax").alias("value"),
+        F.col("l_orderkey").alias("traj_id"), (F.col("l_orderkey") % 400).alias("uid"), place.cast("long").alias("pos"), F.col("l_discount").alias("reward"), F.col("l_tax").alias("value"),
         (F.col("l_returnflag") != "R").cast("int").alias("mask"), (-F.col("l_quantity") / 50).alias("old_logp"), (-F.col("l_quantity") / 50 + (F.col("l_tax") - 0.04) * 5).alias("logp"),
         (-F.col("l_quantity") / 50 + (F.col("l_discount") - 0.05) * 4).alias("rollout_logp"), (F.col("l_tax") + 0.2).alias("sum_pi_sq"), (F.col("l_discount") * 10 - 0.5).alias("advantage"),
     )
