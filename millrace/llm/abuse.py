@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,10 @@ from .mixing import clean_source
 MOST_ABUSIVE, MOST_OTHER = 1500, 2500
 WIDTH, STEP = 8, 4
 HAN_WIDTH, HAN_STEP = 12, 6
-NEIGHBOURS, FLOOR, SHRINK = 10, 0.35, 0.08
+NEIGHBOURS, FLOOR, SHRINK = 10, 0.40, 0.08
+#: Votes that make a window abusive: at first, when whole documents vote, and then, when cleaned windows do.
+SURE = (0.8, 0.5)
+UNLIKE = 0.42
 BLOCK = 128
 COUNT_BUCKETS = 1 << 18
 
@@ -207,12 +211,16 @@ class BlockMaxIndex:
         out = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
         return out + np.arange(len(out))
 
-    def search(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine of at least ``floor``, best first; ties in an order blind to labels."""
-        runs = self._ranges(self.term_run[at], self.term_run[at + 1])
-        owner = np.repeat(np.arange(len(at)), self.term_run[at + 1] - self.term_run[at])
+    def search(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float, hot: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest cosine of at least ``floor``, best first; ties in an order blind to labels.
+
+        With ``hot`` only the blocks with abusive examples are searched.
+        """
+        ends = self.hot_run[at] if hot else self.term_run[at + 1]
+        runs = self._ranges(self.term_run[at], ends)
+        owner = np.repeat(np.arange(len(at)), ends - self.term_run[at])
         blocks = self.run_block[runs]
-        bound = np.bincount(blocks, weights=self.run_max[runs] * weights[owner], minlength=self.blocks)
+        bound = np.bincount(blocks, weights=(self.run_hot if hot else self.run_max)[runs] * weights[owner], minlength=self.blocks)
         by_bound = np.flatnonzero(bound >= floor)
         by_bound = by_bound[np.argsort(-bound[by_bound])]
         found, cosines = np.empty(0, np.int64), np.empty(0)
@@ -229,6 +237,9 @@ class BlockMaxIndex:
             scores = np.bincount(place[windows_ // BLOCK] * BLOCK + windows_ % BLOCK, weights=self.weight[posts] * np.repeat(weights[who], ended - begun))
             good = np.flatnonzero(scores >= least)
             near = np.flatnonzero(chosen)[good // BLOCK] * BLOCK + good % BLOCK
+            if hot:
+                abusive = self.labels[near] > 0.5
+                good, near = good[abusive], near[abusive]
             found, cosines = np.concatenate([found, near]), np.concatenate([cosines, scores[good]])
             if len(found) > k:
                 top = np.lexsort((self.tie[found], -np.round(cosines, 6)))[:k]
@@ -238,14 +249,6 @@ class BlockMaxIndex:
         top = np.lexsort((self.tie[found], -np.round(cosines, 6)))
         return found[top], cosines[top]
 
-    def near_hot(self, at: np.ndarray, weights: np.ndarray, floor: float) -> bool:
-        """Whether a block bound lets any abusive example have a cosine of ``floor``."""
-        runs = self._ranges(self.term_run[at], self.hot_run[at])
-        owner = np.repeat(np.arange(len(at)), self.hot_run[at] - self.term_run[at])
-        if not len(runs):
-            return False
-        return np.bincount(self.run_block[runs], weights=self.run_hot[runs] * weights[owner]).max() >= floor
-
     def vote(self, found: np.ndarray, cosines: np.ndarray, but: int | None = None) -> float:
         """Distance-weighted share of abusive examples, as if document ``but`` (an index) had not been labelled."""
         if not len(found):
@@ -279,7 +282,9 @@ def score_documents(index: BlockMaxIndex, words: list[np.ndarray], own: np.ndarr
     for w in np.flatnonzero(index.hot_bounds(at, weights) >= FLOOR):
         known = at[w] >= 0
         mine, heavy = at[w][known], weights[w][known]
-        if index.near_hot(mine, heavy, FLOOR):
+        # without an abusive example in reach the vote is 0, whatever else is near
+        first, _ = index.search(mine, heavy, 1, FLOOR, hot=True)
+        if len(first):
             found, cosines = index.search(mine, heavy, NEIGHBOURS, FLOOR)
             value[w] = index.vote(found, cosines, None if own is None else own[owner[w]])
             hot = np.flatnonzero(index.labels[found] > 0.5)
@@ -311,12 +316,23 @@ def cleaned(index: BlockMaxIndex, words: list[np.ndarray], places: np.ndarray) -
 
 
 def labelled_sample(labels: DataFrame, most_abusive: int = MOST_ABUSIVE, most_other: int = MOST_OTHER) -> DataFrame:
-    """(doc_id, toxic) by majority of the annotators, ties left out, at most about so many of either, by hash."""
+    """(doc_id, toxic, stands_for) by majority of the annotators, ties left out, at most about so many of either, by hash."""
     judged = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("mean")).where("mean <> 0.5")
     judged = cut(judged.select("doc_id", (F.col("mean") > 0.5).cast("int").alias("toxic")))
     counts = {r["toxic"]: r["count"] for r in judged.groupBy("toxic").count().collect()}
     rate = F.when(F.col("toxic") == 1, min(1.0, most_abusive / max(1, counts.get(1, 0)))).otherwise(min(1.0, most_other / max(1, counts.get(0, 0))))
-    return judged.where(F.expr("pmod(xxhash64(doc_id), 1000000) / 1000000.0") < rate)
+    return judged.where(F.expr("pmod(xxhash64(doc_id), 1000000) / 1000000.0") < rate).withColumn("stands_for", 1 / rate)
+
+
+def _voted(asked: DataFrame, shared: Broadcast) -> DataFrame:
+    """(place, votes, nearest) of each asked document's windows."""
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = cleaned(shared.value, pdf["words"].to_list(), pdf["place"].to_numpy())
+            yield pd.DataFrame({"place": [p for p, *_ in done], "votes": [v for _, v, _ in done], "nearest": [n for *_, n in done]})
+
+    return asked.mapInPandas(clean, "place long, votes array<double>, nearest array<double>")
 
 
 def build(words: DataFrame, labels: DataFrame) -> tuple[BlockMaxIndex, float]:
@@ -329,49 +345,46 @@ def build(words: DataFrame, labels: DataFrame) -> tuple[BlockMaxIndex, float]:
     counts[real["bucket"]] = real["n"]
     idf = np.log1p(whole / (1.0 + counts)).astype(np.float32)
 
-    sample = words.join(F.broadcast(labelled_sample(labels)), "doc_id").select("doc_id", "toxic", "words").dropDuplicates(["doc_id"]).orderBy(F.desc("toxic"), "doc_id").toPandas()
+    sample = words.join(F.broadcast(labelled_sample(labels)), "doc_id").select("doc_id", "toxic", "stands_for", "words").dropDuplicates(["doc_id"]).orderBy(F.desc("toxic"), "doc_id").toPandas()
     docs, toxic, lists = sample["doc_id"].to_numpy(np.int64), sample["toxic"].to_numpy(), sample["words"].to_list()
     terms, owner = windows(lists)
     sample["place"] = np.arange(len(sample))
-    rough = BlockMaxIndex(terms, idf, toxic[owner].astype(float), owner, docs)
-    shared = spark.sparkContext.broadcast(rough)  # bounded by the sample
-
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = cleaned(shared.value, pdf["words"].to_list(), pdf["place"].to_numpy())
-            yield pd.DataFrame({"place": [p for p, *_ in done], "votes": [v for _, v, _ in done], "nearest": [n for *_, n in done]})
-
     hot = sample.loc[sample["toxic"] == 1, ["place", "words"]]
+    index = BlockMaxIndex(terms, idf, toxic[owner].astype(float), owner, docs)
     if not len(hot):
-        return rough, 0.5
-    truth, edges = np.zeros(len(terms)), np.searchsorted(owner, np.arange(len(sample) + 1))
-    parts = 4 * spark.sparkContext.defaultParallelism
-    for row in spark.createDataFrame(hot, "place long, words array<int>").repartition(parts).mapInPandas(clean, "place long, votes array<double>, nearest array<double>").collect():  # bounded by the sample
-        votes, nearest = np.array(row["votes"]), np.array(row["nearest"])
-        sure = votes >= 0.5
-        if not sure.any() and nearest.min() < 0.45:
-            # what is least like anything elsewhere, with the windows that overlap it
-            least = int(nearest.argmin())
-            sure = (np.abs(np.arange(len(nearest)) - least) <= 1) & (nearest < 0.45)
-        truth[edges[row["place"]] : edges[row["place"] + 1]][sure] = 1
-    index = BlockMaxIndex(terms, idf, truth, owner, docs)
+        return index, 0.5
+    parts, edges = 4 * spark.sparkContext.defaultParallelism, np.searchsorted(owner, np.arange(len(sample) + 1))
+    asked = spark.createDataFrame(hot, "place long, words array<int>").repartition(parts)
+    for level in SURE:
+        votes_of = _voted(asked, spark.sparkContext.broadcast(index))  # both bounded by the sample
+        truth = np.zeros(len(terms))
+        for row in votes_of.collect():
+            votes, nearest = np.array(row["votes"]), np.array(row["nearest"])
+            sure = votes >= level
+            if not sure.any() and nearest.min() < UNLIKE:
+                # what is least like anything elsewhere, with the windows that overlap it
+                least = int(nearest.argmin())
+                sure = (np.abs(np.arange(len(nearest)) - least) <= 1) & (nearest < UNLIKE)
+            truth[edges[row["place"]] : edges[row["place"] + 1]][sure] = 1
+        index = BlockMaxIndex(terms, idf, truth, owner, docs)
     fine = spark.sparkContext.broadcast(index)
 
     def leave_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             score, _, _ = score_documents(fine.value, pdf["words"].to_list(), pdf["place"].to_numpy())
-            yield pdf[["toxic"]].assign(score=score)
+            yield pdf[["toxic", "stands_for"]].assign(score=score)
 
-    judged = spark.createDataFrame(sample[["place", "toxic", "words"]], "place long, toxic int, words array<int>")
-    scores = judged.repartition(parts).mapInPandas(leave_out, "toxic int, score double").toPandas()  # bounded by the sample
+    judged = spark.createDataFrame(sample[["place", "toxic", "stands_for", "words"]], "place long, toxic int, stands_for double, words array<int>")
+    scores = judged.repartition(parts).mapInPandas(leave_out, "toxic int, stands_for double, score double").toPandas()  # bounded by the sample
     order = np.argsort(-scores["score"].to_numpy(), kind="stable")
-    hits = np.cumsum(scores["toxic"].to_numpy()[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + scores["toxic"].sum())
+    weight = scores["stands_for"].to_numpy()[order]
+    hits, called = np.cumsum(weight * scores["toxic"].to_numpy()[order]), np.cumsum(weight)
+    f1 = 2 * hits / (called + hits[-1]) if len(order) else np.empty(0)
     level = scores["score"].to_numpy()[order]
     f1 = np.where(np.append(level[:-1] > level[1:], True) & (level > 0.2) & (level <= 0.8), f1, 0)
     best = int(f1.argmax()) if len(f1) else 0
     #: F1, precision and recall on the labelled sample, each document left out of its own vote
-    index.quality = (f1[best], hits[best] / (best + 1), hits[best] / scores["toxic"].sum()) if len(f1) else None
+    index.quality = (f1[best], hits[best] / called[best], hits[best] / hits[-1]) if len(f1) else None
     return index, float((level[best] + (level[best + 1] if best + 1 < len(level) else 0)) / 2) if f1[best] else 0.5
 
 
