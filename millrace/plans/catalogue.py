@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes, objectives, rollout
+from . import changes, evaluation, objectives, rollout
 
-MODULES = (changes, rollout, objectives)
-FLAGSHIP = "p6_found"
+MODULES = (changes, evaluation, rollout, objectives)
+FLAGSHIP = "a3_classification_report"
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
