@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes, corpus, evaluation, objectives, pools, rollout
+from . import arrays, changes, corpus, evaluation, objectives, pools, rollout
 
-MODULES = (changes, evaluation, corpus, rollout, objectives, pools)
+MODULES = (changes, evaluation, corpus, rollout, objectives, pools, arrays)
 FLAGSHIP = "a3_classification_report"
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
