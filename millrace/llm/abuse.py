@@ -43,7 +43,7 @@ BLOCK = 128
 COUNT_BUCKETS = 1 << 18
 
 _MARKUP = re.compile(r"<[^<>]{0,200}>|https?://\S+|\b(?:pic|www)\.\S+")
-_TAGS = re.compile(r"#\w+|@\w+:?|\(\w+\)")
+_TAGS = re.compile(r"(?<![\w$@!*])[#@]\w+:?|\(\w+\)")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")
 _ENDS = re.compile(r"[.!?…。！？\n]+(?=\s|$|[^\x00-\x7f])|\n|(?<=[\u2e80-\u9fff]),")
 _WORD = re.compile(r"[⺀-鿿豈-﫿]|[^\W⺀-鿿豈-﫿]+(?:[@$*!'’0-9]+[^\W⺀-鿿豈-﫿]+)*[$]?|[@$][^\W\d_]\w*")

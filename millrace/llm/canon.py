@@ -119,8 +119,10 @@ def _rewrite(unit: str) -> str:
     out = unit.translate(_TRANSLATE)
     if out.isascii():
         return out
-    out = unicodedata.normalize("NFC", out)
-    return WORD.sub(lambda m: _script(m.group()), out) if _ALIKE.search(out) else out
+    if _ALIKE.search(out):
+        # marks are apart while letters decide, so that a letter and its make-up are judged alike
+        out = WORD.sub(lambda m: _script(m.group()), unicodedata.normalize("NFD", out))
+    return unicodedata.normalize("NFC", out)
 
 
 #: Only units with Greek or Cyrillic letters can hold look-alikes.
