@@ -91,8 +91,8 @@ BOOK.add(
 )
 BOOK.add(
     "b8_dispatch",
-    lambda s, d: seq.dispatched(table(s, d, "orders").select(F.col("o_orderkey").alias("row_idx")), "chunk", 8, total=table(s, d, "orders").count()).groupBy("rank").agg(F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi")),
-    "WITH n AS (SELECT count(*) // 8 AS k FROM orders) SELECT (o_orderkey // k)::INT AS rank, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders, n GROUP BY 1",
+    lambda s, d: seq.dispatched(table(s, d, "orders").select(F.col("o_orderkey").alias("row_idx")), "chunk", 5, total=table(s, d, "orders").count()).groupBy("rank").agg(F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi")),
+    "WITH n AS (SELECT count(*) // 5 AS k FROM orders) SELECT (o_orderkey // k)::INT AS rank, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders, n GROUP BY 1",
 )
 BOOK.add(
     "f24_swapped_preference",

@@ -82,13 +82,13 @@ BOOK.add(
     "c2_gsm8k",
     lambda s, d: scorers.score(_responses(s, d)).select("o_orderkey", "score"),
     """WITH r AS (SELECT o_orderkey, (o_custkey % 1000)::VARCHAR AS n FROM orders), t AS (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'so we get ' || n || ' #### ' || n WHEN 1 THEN '#### 1,' || n ELSE 'about ' || n END AS x FROM r
-    ), a AS (SELECT *, replace(regexp_extract(right(x, 300), '.*#### (-?[0-9.,]+)', 1), ',', '') AS a FROM t) SELECT o_orderkey, CASE WHEN a = '' THEN 0.0 WHEN a = n THEN 1.0 ELSE 0.0 END AS score FROM a""",
+    ), a AS (SELECT *, replace(regexp_extract(right(x, 300), '.*#### (-?[0-9.,]+)', 1), ',', '') AS a FROM t) SELECT o_orderkey, (CASE WHEN a = '' THEN 0.0 WHEN a = n THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM a""",
 )
 BOOK.add(
     "c3_qa_exact",
     lambda s, d: table(s, d, "part").select("p_partkey", scorers.qa_match(F.concat(F.lit("<answer> The "), "p_name", F.lit("! </answer>")), F.array(F.lower("p_name"), F.col("p_brand"))).alias("exact"),
         scorers.qa_match(F.concat(F.lit("<answer>It is "), "p_name", F.lit(" now</answer>")), F.array("p_name"), inside=True).alias("inside")),
-    "SELECT p_partkey, 1.0 AS exact, 1.0 AS inside FROM part",
+    "SELECT p_partkey, 1::DOUBLE AS exact, 1::DOUBLE AS inside FROM part",
 )
 BOOK.add(
     "c5_medmcqa",

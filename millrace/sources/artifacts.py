@@ -39,8 +39,9 @@ def repaired_journal(lines: DataFrame, parsed_ok: Column, repair_tail: bool = Tr
     ends = lines.groupBy("file").agg(F.max("line_no").alias("_end"))
     marked = lines.withColumn("_ok", F.coalesce(parsed_ok, F.lit(False))).join(F.broadcast(ends), "file")
     tail = (F.col("line_no") == F.col("_end")) & F.lit(repair_tail)
-    checked = marked.withColumn("file", F.when(~F.col("_ok") & ~tail, F.raise_error(F.concat(F.lit("corrupt journal line "), F.col("line_no"))).cast("string")).otherwise(F.col("file")))
-    return checked.where("_ok").drop("_ok", "_end")
+    # the check is in the filter itself, so no optimisation can drop bad lines before it
+    bad = F.raise_error(F.concat(F.lit("corrupt journal line "), F.col("line_no"))).cast("boolean")
+    return marked.where(F.when(~F.col("_ok") & ~tail, bad).otherwise(F.col("_ok"))).drop("_ok", "_end")
 
 
 def compact(rows: DataFrame, requested: DataFrame, key: str, position: str) -> DataFrame:
