@@ -8,10 +8,11 @@ from __future__ import annotations
 import heapq
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import streamed_groups
+
 
 def workload(length: Column) -> Column:
     """Relative cost of a sequence: 24576 n + n^2."""
@@ -62,16 +63,12 @@ def balanced(rows: DataFrame, batch: str, idx: str, size: str, k: int, equal: bo
     """rows with ``part`` (0..k-1) of their batch; parts are ordered as the method leaves them."""
     choose = {"differencing": differencing, "greedy": greedy}[method]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, ignore_index=True)
-        part = pd.Series(0, index=pdf.index, dtype="int32")
-        for n, items in enumerate(choose(pdf[size].astype(int).tolist(), k, equal)):
-            part.iloc[items] = n
-        return pdf.assign(part=part)
+    def run(group: list[tuple]) -> list[tuple]:
+        part = {i: n for n, items in enumerate(choose([int(size_) for *_, size_ in group], k, equal)) for i in items}
+        return [(*row, part[i]) for i, row in enumerate(group)]
 
     plain = rows.select(batch, idx, size)
-    kinds = ", ".join(f"{c} {t}" for c, t in plain.dtypes)
-    return plain.groupBy(batch).applyInPandas(run, f"{kinds}, part int")
+    return streamed_groups(plain, batch, idx, run, ", ".join(f"{c} {t}" for c, t in plain.dtypes) + ", part int")
 
 
 def micro_batches(rows: DataFrame, batch: str, idx: str, length: str, max_tokens: int, least: int = 1, multiple: int = 1) -> DataFrame:
@@ -81,9 +78,8 @@ def micro_batches(rows: DataFrame, batch: str, idx: str, length: str, max_tokens
     the number of rows.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, ignore_index=True)
-        lengths = pdf[length].astype(int).tolist()
+    def run(group: list[tuple]) -> list[tuple]:
+        lengths = [int(n) for *_, n in group]
         if max(lengths) > max_tokens:
             raise ValueError("a sequence is longer than a micro-batch")
         k = max(least, math.ceil(sum(lengths) / max_tokens))
@@ -91,15 +87,10 @@ def micro_batches(rows: DataFrame, batch: str, idx: str, length: str, max_tokens
         costs = [24576 * n + n * n for n in lengths]
         parts = sorted(differencing(costs, k), key=lambda p: (sum(costs[i] for i in p), p), reverse=True)
         parts = parts[::2][::-1] + parts[1::2]
-        out = pdf.assign(micro=0, place=0)
-        for m, part in enumerate(parts):
-            out.loc[part, "micro"] = m
-            out.loc[part, "place"] = range(len(part))
-        return out.astype({"micro": "int32", "place": "int32"})
+        return [(*group[i], m, place) for m, part in enumerate(parts) for place, i in enumerate(part)]
 
     plain = rows.select(batch, idx, length)
-    kinds = ", ".join(f"{c} {t}" for c, t in plain.dtypes)
-    return plain.groupBy(batch).applyInPandas(run, f"{kinds}, micro int, place int")
+    return streamed_groups(plain, batch, idx, run, ", ".join(f"{c} {t}" for c, t in plain.dtypes) + ", micro int, place int")
 
 
 def restore_order(rows: DataFrame, original: DataFrame, key: str, position: str) -> DataFrame:

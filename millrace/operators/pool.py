@@ -1,19 +1,20 @@
 """The rule pool: an ordered action log folded into a weighted set of at most ``capacity`` active references.
 
 Where nothing is evicted and no importance falls to 0 the final counters are a plain aggregate (:func:`counters`). The
-general fold needs the order: one pool is one group of ``applyInPandas`` (its state is bounded by the references ever
-added, its input streams in order), and pools run side by side.
+general fold needs the order: pools stream past in order, side by side over the partitions (a pool's state is bounded
+by the references ever added).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .grouped import streamed_groups
+
 CAPACITY = 100
 # The legal actions of each candidate label; SKIP is always legal in a log.
 LEGAL = {"sarcastic": ("ADD", "MODIFY", "UPVOTE", "SKIP"), "non-sarcastic": ("MODIFY", "UPVOTE", "DOWNVOTE", "SKIP")}
@@ -114,18 +115,20 @@ def fold(actions: DataFrame, capacity: int = CAPACITY, drop_inactive_targets: bo
     modification_scope). An action on an inactive or unknown target raises, or is skipped with
     ``drop_inactive_targets``. An ADD equal to an active item counts as an UPVOTE of it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = Pool(capacity)
-        none = lambda x: x if isinstance(x, str) else None
-        for row in pdf.sort_values("seq").itertuples(index=False):
+    names = [c.split()[0] for c in STATE.split(", ")[1:]]
+
+    def run(group: list[tuple]) -> list[tuple]:
+        state = Pool(capacity)
+        for _, _, *row in group:
             try:
-                pool.apply(row.action, none(row.target_id), none(row.mechanism), none(row.exclusion_boundary), none(row.modification_scope))
+                state.apply(*row)
             except ValueError:
                 if not drop_inactive_targets:
                     raise
-        return pd.DataFrame(pool.rows(), columns=[c.split()[0] for c in STATE.split(", ")[1:]]).assign(pool=pdf["pool"].iloc[0])[[c.split()[0] for c in STATE.split(", ")]]
+        return [(group[0][0], *(item[n] for n in names)) for item in state.rows()]
 
-    return actions.select("pool", "seq", "action", "target_id", "mechanism", "exclusion_boundary", "modification_scope").groupBy("pool").applyInPandas(run, STATE)
+    plain = actions.select("pool", "seq", "action", "target_id", "mechanism", "exclusion_boundary", "modification_scope")
+    return streamed_groups(plain, "pool", "seq", run, STATE)
 
 
 def ranked(state: DataFrame) -> DataFrame:
