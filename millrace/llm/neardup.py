@@ -8,6 +8,7 @@ bitmaps inside the join (lossless), and what is left is verified exactly on the
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ def bands_for(rows: int, recall: float, similarity: float = NEAR_SAME) -> int:
 
 
 def signatures(batches: Iterator[pd.DataFrame], rows: int, bands: int) -> Iterator[pd.DataFrame]:
-    """Band hashes, set size and two 64-bit word bitmaps of each (field, cls, hashes)."""
+    """Band hashes, set size and a 64-bit word bitmap of each (field, cls, hashes). A band's hash holds its number and field."""
     rng = np.random.default_rng(20250106)
     mult = rng.integers(1, 2**63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, rows * bands, dtype=np.uint64)
@@ -45,8 +46,9 @@ def signatures(batches: Iterator[pd.DataFrame], rows: int, bands: int) -> Iterat
             flat = np.concatenate(part["hashes"].to_list()).astype(np.int64).view(np.uint64)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             bands_out = np.empty((len(part), bands), np.uint64)
+            fields = part["field"].map(lambda f: zlib.crc32(f.encode()) << 8).to_numpy(np.uint64)
             for band in range(bands):
-                acc = np.full(len(part), band + 1, np.uint64)
+                acc = fields + np.uint64(band + 1)
                 for row in range(rows):
                     k = band * rows + row
                     hashed = flat * mult[k] + add[k]
@@ -55,10 +57,9 @@ def signatures(batches: Iterator[pd.DataFrame], rows: int, bands: int) -> Iterat
                     acc = (acc ^ np.minimum.reduceat(hashed, starts)) * mix[row]
                     acc ^= acc >> np.uint64(29)
                 bands_out[:, band] = acc
-            out = part[["field", "cls"]].copy()
+            out = part[["cls"]].copy()
             out["n"] = sizes
-            for name, shift in (("m0", 3), ("m1", 11), ("m2", 19)):
-                out[name] = np.bitwise_xor.reduceat(one << ((flat >> np.uint64(shift)) & np.uint64(63)), starts).view(np.int64)
+            out["bitmap"] = np.bitwise_xor.reduceat(one << ((flat >> np.uint64(3)) & np.uint64(63)), starts).view(np.int64)
             out["bands"] = list(bands_out.view(np.int64))
             yield out
 
@@ -66,7 +67,7 @@ def signatures(batches: Iterator[pd.DataFrame], rows: int, bands: int) -> Iterat
 def class_members(texts: DataFrame) -> DataFrame:
     """(field, id, cls, words) of each distinct text with words; null ids, null texts and texts without words drop out."""
     words = texts.where("id is not null and text is not null").select("field", "id", word_set(F.col("text")).alias("words"))
-    return words.where("size(words) > 0").withColumn("cls", set_key(F.col("words")))
+    return words.where("size(words) > 0").withColumn("cls", set_key(F.concat(F.array(F.concat("field", F.lit("\u001f"))), F.col("words"))))
 
 
 def near_classes(members: DataFrame, rows: int = ROWS_PER_BAND, recall: float = TARGET_RECALL) -> DataFrame:
@@ -74,16 +75,13 @@ def near_classes(members: DataFrame, rows: int = ROWS_PER_BAND, recall: float =
     bands = bands_for(rows, recall)
     classes = cut(members.groupBy("field", "cls").agg(F.first("words").alias("words")))
     signed = spread(classes.select("field", "cls", F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))).mapInPandas(
-        lambda batches: signatures(batches, rows, bands), "field string, cls binary, n int, m0 long, m1 long, m2 long, bands array<long>"
+        lambda batches: signatures(batches, rows, bands), "cls binary, n int, bitmap long, bands array<long>"
     )
-    banded = cut(signed).select("field", "cls", "n", "m0", "m1", "m2", F.explode("bands").alias("band"))
-    pairs = keyed_pairs(banded, ["field", "band"], "cls", ["cls", "n", "m0", "m1", "m2"])
-    for bitmap in ("m0", "m1", "m2"):
-        pairs = pairs.where(may_be_near("a.n", "b.n", (f"a.{bitmap}", f"b.{bitmap}")))
-    pairs = pairs.select("field", F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    full = classes.select("field", "cls", "words")
-    joined = pairs.join(full.withColumnsRenamed({"cls": "cls_a", "words": "words_a"}), ["field", "cls_a"]).join(
-        full.withColumnsRenamed({"cls": "cls_b", "words": "words_b"}), ["field", "cls_b"]
+    banded = cut(signed).select("cls", "n", "bitmap", F.explode("bands").alias("band"))
+    pairs = keyed_pairs(banded, ["band"], "cls", ["cls", "n", "bitmap"]).where(may_be_near("a.n", "b.n", ("a.bitmap", "b.bitmap")))
+    pairs = pairs.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
+    joined = pairs.join(classes.withColumnsRenamed({"cls": "cls_a", "words": "words_a"}), "cls_a").join(
+        classes.select(F.col("cls").alias("cls_b"), F.col("words").alias("words_b")), "cls_b"
     )
     return joined.where(near_same("words_a", "words_b")).select("field", "cls_a", "cls_b")
 
