@@ -65,7 +65,7 @@ def medmcqa(response: Column, truth: Column) -> Column:
     return F.substring(response, 1, 16).contains(truth).cast("double")
 
 
-@scorer("pace")
+@scorer("constant")
 def constant(response: Column, truth: Column) -> Column:
     return F.lit(0.0)
 

@@ -51,7 +51,7 @@ def stratified_sample(rows: DataFrame, key: str, strata: list[str], quotas: Data
     wanted = quotas.join(counts, strata, "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
     short = F.raise_error(F.concat(F.lit("too few rows in stratum "), F.concat_ws("/", *strata)))
     wanted = wanted.withColumn("quota", F.when(F.col("_have") < F.col("quota"), short.cast("int")).otherwise(F.col("quota")))
-    # 8 standard deviations above the quota's share keep the cut exact for all practical purposes; the rest is checked
+    # a cut 8 standard deviations above the quota's share: fewer rows than the quota below it is out of the question
     share = (F.col("quota") + 8 * F.sqrt(F.col("quota")) + 16) / F.col("_have")
     order = seeded_key(seed, key)
     near = rows.join(F.broadcast(wanted), strata).where(F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / 4294967296.0 < share)
