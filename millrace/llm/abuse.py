@@ -35,10 +35,10 @@ from .mixing import clean_source
 MOST_ABUSIVE, MOST_OTHER = 1500, 2500
 WIDTH, STEP = 8, 4
 HAN_WIDTH, HAN_STEP = 12, 6
-NEIGHBOURS, FLOOR, SHRINK = 10, 0.40, 0.08
+NEIGHBOURS, FLOOR, SHRINK = 10, 0.35, 0.08
 #: Votes that make a window abusive: at first, when whole documents vote, and then, when cleaned windows do.
 SURE = (0.8, 0.5)
-UNLIKE = 0.42
+UNLIKE = 0.45
 BLOCK = 128
 COUNT_BUCKETS = 1 << 18
 

@@ -253,6 +253,14 @@ def test_spelling_tricks():
     assert same("what trrrrash", "WHAT TRASH") and same("you b@$t@rd", "you bastard") and same("an i-d-i-o-t here", "an idiot here") and same("a <b>word</b> &amp; more", "a word & more")
 
 
+def test_far_abusive_neighbours_vote():
+    examples = [np.array([1, 2, 3, *range(1000 + 10 * k, 1003 + 10 * k), -1]) for k in range(10)]
+    terms, owner = abuse.windows(examples)
+    index = abuse.BlockMaxIndex(terms, np.ones(abuse.COUNT_BUCKETS, np.float32), np.ones(len(terms)), owner, np.arange(10))
+    score, evidence, cosine = abuse.score_documents(index, [np.array([1, 2, 3, *range(500, 505), -1])])
+    assert abs(cosine[0] - 5 / 165**0.5) < 1e-5 and 0.7 < score[0] < 0.8 and evidence[0] >= 0
+
+
 def test_abuse_on_labelled_documents(spark):
     documents, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     words_ = abuse.cut(documents.select("doc_id", abuse.clean_source("source").alias("source"), "text").mapInPandas(abuse._worded, "doc_id long, source string, words array<int>"))
