@@ -130,9 +130,8 @@ def features(parts: list[str], post: frozenset[str], foreign: list[int]) -> list
         if at_end and not ended and alike < 0.5:
             ids.append(78)
         if foreign[k] <= 1 and held < 0.8:
-            lowered = [w for w in own[:24]]
-            ids += [100 + zlib.crc32(w.encode()) % HASHED for w in lowered]
-            ids += [100 + zlib.crc32(f"{a} {b}".encode()) % HASHED for a, b in zip(lowered, lowered[1:])]
+            ids += [100 + zlib.crc32(w.encode()) % HASHED for w in own]
+            ids += [100 + zlib.crc32(f"{a} {b}".encode()) % HASHED for a, b in zip(own, own[1:])]
         out.append(ids)
     return out
 

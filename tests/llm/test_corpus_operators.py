@@ -192,6 +192,12 @@ def test_defects(judge, raw, defect):
     assert (got if isinstance(got, str) else None) == defect
 
 
+def test_refusal_late_in_a_long_clause(judge):
+    long = "While the picture that was sent along shows two people who sit on a bench by the river and look at a boat that slowly drifts past them in the evening"
+    assert judge(WHOLE % (long + ", I am sorry but I cannot help with this request and I must decline to answer.")) == "refusal"
+    assert judge(WHOLE % (long + ".")) is None
+
+
 def test_field_learns_a_chain():
     rng = random.Random(0)
     data = []
