@@ -37,13 +37,14 @@ def journal_log(journal: DataFrame, partitions: int = 64) -> DataFrame:
     return rows.withColumn("part", F.expr(f"cast(pmod(xxhash64(sample_id), {partitions}) as int)"))
 
 
-def current_content(log: DataFrame) -> DataFrame:
+def current_content(log: DataFrame, *also: str) -> DataFrame:
     """One row a key: the content with the largest updated_at, then seq (a null updated_at is the smallest).
 
-    A plain aggregate, so a key with a third of all rows is reduced before the shuffle.
+    A plain aggregate, so a key with a third of all rows is reduced before the shuffle. ``also`` names columns to keep
+    that the key determines.
     """
     best = F.max(F.struct("updated_at", "seq", "fingerprint"))
-    return log.groupBy("sample_id").agg(best.alias("best")).select("sample_id", "best.fingerprint", F.col("best.seq").alias("seq"))
+    return log.groupBy("sample_id", *also).agg(best.alias("best")).select("sample_id", *also, "best.fingerprint", F.col("best.seq").alias("seq"))
 
 
 def committed_content(processed_log: DataFrame, run_log: DataFrame) -> DataFrame:
@@ -114,9 +115,14 @@ class ChangeCapture:
         return log.join(F.broadcast(ranges), "part").where("seq > lo and seq <= hi").drop("lo", "hi")
 
     def run(self, log: DataFrame, committed: DataFrame) -> DataFrame:
-        """Run one batch and return its published rows (sample_id, fingerprint, seq)."""
+        """Run one batch and return its published rows (sample_id, fingerprint, seq).
+
+        A key's content is judged over the log up to the batch's end, and is of this batch if its offset is: a late row,
+        older than what an earlier batch read, changes nothing.
+        """
         plan = self.plan(log)
-        changed = current_content(self.slice(log, plan))
+        newest = current_content(self.slice(log, plan | {"begin": {}}), "part")
+        changed = self.slice(newest, plan)
         known = changed.join(committed, "sample_id", "left").where("fingerprints is null or not array_contains(fingerprints, fingerprint)")
         return self.publish(known.select("sample_id", "fingerprint", "seq"), plan)
 

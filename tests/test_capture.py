@@ -50,6 +50,16 @@ def test_replay_after_failure_neither_skips_nor_repeats(spark):
     assert {r.sample_id for r in capture.published().collect()} == {"a", "b", "c"}
 
 
+def test_late_rows_in_a_second_batch_change_nothing(spark):
+    known = committed_content(spark.createDataFrame([(1, "b", "new", T[0])], PROCESSED), spark.createDataFrame([(1, T[0], T[0], "succeeded")], RUNS))
+    capture = ChangeCapture(spark)
+    rows = [(1, "a", "new", T[2]), (2, "b", "new", T[2]), (3, "c", "old", T[0])]
+    assert {r.sample_id for r in capture.run(journal_log(journal(spark, rows), 4), known).collect()} == {"a", "c"}
+    rows += [(4, "a", "late", T[1]), (5, "b", "late", T[1]), (6, "c", "new", T[1]), (7, "c", "late", T[0]), (8, "d", "first", None)]
+    assert {tuple(r) for r in capture.run(journal_log(journal(spark, rows), 4), known).select("sample_id", "fingerprint").collect()} == {("c", "new"), ("d", "first")}
+    assert {(r.sample_id, r.fingerprint) for r in capture.published().collect()} == {("a", "new"), ("c", "new"), ("d", "first")}
+
+
 def test_publishing_twice_changes_nothing(spark):
     capture = ChangeCapture(spark)
     plan = {"batch": 0, "begin": {}, "end": {}}
