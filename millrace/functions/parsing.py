@@ -97,8 +97,9 @@ def repaired_sentences(text: Column) -> Column:
     body = strip(text)
     parts = sentences(body)
     cut = F.regexp_replace(body, r"^(.{10,}?)[;,]\s+(?:and |but |so )?([a-z])(.*)$", "$1. \ue002$2$3")
-    split_up = F.concat(F.substring_index(cut, "\ue002", 1), F.upper(F.substring(F.substring_index(cut, "\ue002", -1), 1, 1)), F.substring(F.substring_index(cut, "\ue002", -1), 2, 100000))
-    tail = F.array_join(F.transform(F.slice(parts, 3, 1000), lambda s: F.regexp_replace(s, r"[.!?]+$", "")), "; ")
+    rest = F.substring_index(cut, "\ue002", -1)
+    split_up = F.concat(F.substring_index(cut, "\ue002", 1), F.upper(F.substring(rest, 1, 1)), F.substr(rest, F.lit(2)))
+    tail = F.array_join(F.transform(F.slice(parts, F.lit(3), F.size(parts)), lambda s: F.regexp_replace(s, r"[.!?]+$", "")), "; ")
     merged = F.concat_ws(" ", parts[0], parts[1], F.concat(tail, F.lit(".")))
     return F.when((F.size(parts) == 1) & cut.contains("\ue002"), split_up).when(F.size(parts) > 3, merged).otherwise(body)
 

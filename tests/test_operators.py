@@ -260,3 +260,10 @@ def test_review_of_loaders(spark):
     assert artifacts.load_all({"mmsd2": one}).first().sample_id == "mmsd2:na:7"
     with pytest.raises(PySparkException, match="duplicate"):
         artifacts.load_all({"mmsd2": one.union(one)}).collect()
+
+
+def test_repaired_sentences_are_whole(spark):
+    many, long = " ".join(["One is so."] * 1100), "The praise sounds warm, but " + "the queue is long " * 6000 + "now."
+    fixed = [r.t for r in spark.createDataFrame([(many,), (long,)], "t string").select(parsing.repaired_sentences(F.col("t")).alias("t")).collect()]
+    assert fixed[0] == "One is so. One is so. " + "; ".join(["One is so"] * 1098) + "."
+    assert fixed[1] == "The praise sounds warm. The queue is long " + "the queue is long " * 5999 + "now."
