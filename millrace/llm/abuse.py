@@ -6,10 +6,11 @@ inverted index: a block of examples is only scored if the sum of its terms' maxi
 neighbours' distance-weighted votes give the window's score, the highest window the document's, with the nearest
 abusive example as evidence.
 
-Labels say which documents are abusive, not where. So labelled windows are cleaned first: a window of an abusive
-document counts as abusive only if its own neighbours in other documents say so, or if nothing else in its document
-does and no other document has its like. The index holds a bounded sample of labelled documents; document frequencies are
-counted over all documents.
+Labels say which documents are abusive, not where, and some are wrong. So labelled windows are cleaned first: a window of
+an abusive document counts as abusive only if its own neighbours in other documents say so, or if nothing else in its
+document does, no other document has its like and what is loosely like it is not mostly harmless. The index holds a
+bounded sample of labelled documents. Term frequencies are counted over all documents: exactly for every term of the
+index, by 2^18 hash buckets (an upper bound) for terms no example has, which enter a window's norm only.
 """
 
 from __future__ import annotations
@@ -32,13 +33,16 @@ from .canon import canonical
 from .mixing import clean_source
 
 #: Bounds of the labelled sample, in documents.
-MOST_ABUSIVE, MOST_OTHER = 1500, 2500
+MOST_ABUSIVE, MOST_OTHER = 1500, 4000
 WIDTH, STEP = 8, 4
 HAN_WIDTH, HAN_STEP = 12, 6
 NEIGHBOURS, FLOOR, SHRINK = 10, 0.35, 0.08
 #: Votes that make a window abusive: at first, when whole documents vote, and then, when cleaned windows do.
 SURE = (0.8, 0.5)
 UNLIKE = 0.45
+#: A window is harmless, whatever its few nearest say, if of its LOOSE nearest examples above LOOSE_FLOOR, at least
+#: LEAST_LOOSE, a smaller share than LOOSE_SHARE is abusive.
+LOOSE, LEAST_LOOSE, LOOSE_FLOOR, LOOSE_SHARE = 40, 4, 0.2, 0.5
 BLOCK = 128
 COUNT_BUCKETS = 1 << 18
 
@@ -93,35 +97,39 @@ def _worded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["doc_id", "source"]].assign(words=out)
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """begin[0] .. end[0] - 1, begin[1] .. end[1] - 1 and so on."""
+    sizes = end - begin
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+
+
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * 1_000_003 + right * 29 + 7) & 0x3FFFFFFFFFFF | 1 << 46
+
+
 def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(terms, owner): term ids of each window (words, then pairs; -1 pads), and the document it is from."""
-    rows: list[np.ndarray] = []
-    owner: list[int] = []
-    for k, words in enumerate(docs):
-        if not len(words):
-            continue
-        words = np.asarray(words)
-        begin = 0
-        for end in np.flatnonzero(words == -1):
-            width, step = WIDTH, STEP
-            if words[begin] == -2:
-                begin, width, step = begin + 1, HAN_WIDTH, HAN_STEP
-            n = end - begin
-            starts = [0] if n <= width else [*range(0, n - width, step), n - width]
-            for s in starts:
-                rows.append(words[begin + s : min(end, begin + s + width)])
-                owner.append(k)
-            begin = end + 1
-    if not rows:
+    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+    if not sizes.sum():
         return np.empty((0, 2 * HAN_WIDTH - 1), np.int64), np.empty(0, np.int64)
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    table = np.full((len(rows), HAN_WIDTH), -1, np.int64)
-    table[np.arange(HAN_WIDTH) < sizes[:, None]] = np.concatenate(rows)
-    pairs = (table[:, :-1] * 1_000_003 + table[:, 1:] * 29 + 7) & 0x3FFFFFFFFFFF | 1 << 46
+    flat = np.concatenate(docs).astype(np.int64)
+    ends = np.flatnonzero(flat == -1)
+    begins = np.append(0, ends[:-1] + 1)
+    han = flat[begins] == -2
+    begins += han
+    width, step, n = np.where(han, HAN_WIDTH, WIDTH), np.where(han, HAN_STEP, STEP), ends - begins
+    over = np.maximum(n - width, 0)
+    count = -(-over // step) + 1
+    sentence = np.repeat(np.arange(len(ends)), count)
+    start = np.minimum(_ranges(np.zeros_like(count), count) * step[sentence], over[sentence])
+    at = np.arange(HAN_WIDTH)
+    place = np.minimum((begins[sentence] + start)[:, None] + at, len(flat) - 1)
+    table = np.where(at < np.minimum(n, width)[sentence, None], flat[place], -1)
+    pairs = _pairs(table[:, :-1], table[:, 1:])
     pairs[table[:, 1:] < 0] = -1
     terms = np.sort(np.concatenate([table, pairs], axis=1), axis=1)
     terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = -1
-    return terms, np.asarray(owner, np.int64)
+    return terms, np.repeat(np.arange(len(docs)), sizes)[ends][sentence]
 
 
 def _bucket(terms: np.ndarray) -> np.ndarray:
@@ -129,15 +137,46 @@ def _bucket(terms: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(46)).astype(np.int64)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Window counts by term bucket over a partition: a bounded table."""
-    total, n = np.zeros(COUNT_BUCKETS, np.int64), 0
+def _counted(batches: Iterator[pd.DataFrame], vocabulary: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Occurrences over a partition of each term of ``vocabulary`` (its place), of each bucket (after the vocabulary)
+    and, last, of sentences: a bounded table."""
+    known = len(vocabulary)
+    total = np.zeros(known + COUNT_BUCKETS + 1, np.int64)
     for pdf in batches:
-        terms, _ = windows(pdf["words"].to_list())
-        n += len(terms)
-        total += np.bincount(_bucket(terms[terms >= 0]), minlength=COUNT_BUCKETS)
+        docs = [w for w in pdf["words"] if len(w)]
+        if not docs:
+            continue
+        flat = np.concatenate(docs).astype(np.int64)
+        pair = _pairs(flat[:-1], flat[1:])[(flat[:-1] >= 0) & (flat[1:] >= 0)]
+        terms = np.concatenate([flat[flat >= 0], pair])
+        total += np.bincount(known + _bucket(terms), minlength=len(total))
+        if known:
+            at = np.minimum(np.searchsorted(vocabulary, terms), known - 1)
+            total += np.bincount(at[vocabulary[at] == terms], minlength=len(total))
+        total[-1] += (flat == -1).sum()
     used = np.flatnonzero(total)
-    yield pd.DataFrame({"bucket": np.append(used, -1), "n": np.append(total[used], n)})
+    yield pd.DataFrame({"place": used, "n": total[used]})
+
+
+class Weights:
+    """Inverse frequencies: exact ones of a vocabulary, and those of hash buckets for all other terms."""
+
+    def __init__(self, vocabulary: np.ndarray, known: np.ndarray, buckets: np.ndarray) -> None:
+        self.vocabulary, self.known, self.buckets = vocabulary, known.astype(np.float32), buckets.astype(np.float32)
+
+    def look_up(self, terms: np.ndarray) -> np.ndarray:
+        """Place of each term in the vocabulary, -1 for others."""
+        if not len(self.vocabulary):
+            return np.full(terms.shape, -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == terms, at, -1)
+
+    def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, unit TF-IDF weights by presence) of windows; padding weighs 0."""
+        at = self.look_up(terms)
+        weights = np.where(at >= 0, self.known[at] if len(self.known) else 0, self.buckets[_bucket(np.maximum(terms, 0))])
+        weights = np.where(terms >= 0, weights, 0)
+        return at, weights / np.maximum(np.sqrt((weights**2).sum(axis=1, keepdims=True)), 1e-9)
 
 
 class BlockMaxIndex:
@@ -145,11 +184,15 @@ class BlockMaxIndex:
 
     ``owner`` and ``truth`` say for each window which document it is from (an index into ``docs``) and whether it is
     abusive there. Equal windows are one example; it is abusive if it is in at least half of its documents, and votes
-    with the logarithm of their number.
+    with the logarithm of their number. Examples of one block share their rarest terms, so that block maxima are low for
+    everything else. Windows are searched in batches: bounds of all blocks, then exact cosines in the blocks whose bound
+    can still matter, each as one sparse product.
     """
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, truth: np.ndarray, owner: np.ndarray, docs: np.ndarray) -> None:
-        self.idf, self.docs = idf, docs
+    CHUNK, FIRST_BLOCKS = 1024, 6
+
+    def __init__(self, terms: np.ndarray, weights: Weights, truth: np.ndarray, owner: np.ndarray, docs: np.ndarray) -> None:
+        self.weights, self.docs = weights, docs
         terms, example = np.unique(terms, axis=0, return_inverse=True)
         example = example.reshape(-1)
         held, first = np.unique(np.stack([example, owner]), axis=1, return_index=True) if len(example) else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
@@ -157,21 +200,22 @@ class BlockMaxIndex:
         hits = np.bincount(held[0], weights=truth[first], minlength=len(terms))
         abusive = 2 * hits >= np.maximum(count, 1)
         mixed = (np.arange(len(terms)) * 2654435761) % (1 << 32)
-        order = np.lexsort((mixed, ~abusive))  # abusive examples share blocks
+        at, weight = weights.of(terms)
+        rarest = np.argsort(-np.where(at >= 0, weight, 0), axis=1, kind="stable")[:, :2]
+        rare = np.take_along_axis(at, rarest, axis=1) if len(terms) else np.empty((0, 2), np.int64)
+        order = np.lexsort((rare[:, 1], rare[:, 0], ~abusive))  # abusive examples share blocks
         place = np.empty(len(terms), np.int64)
         place[order] = np.arange(len(terms))
-        terms, self.count, self.hits, self.tie = terms[order], count[order], hits[order], mixed[order]
+        at, weight, self.count, self.hits, self.tie = at[order], weight[order], count[order], hits[order], mixed[order]
         by_example = np.argsort(place[held[0]], kind="stable")
         self.held_doc, self.held_truth = held[1][by_example], truth[first][by_example]
         self.held = np.append(0, np.cumsum(self.count))
         self.labels = abusive[order].astype(np.float32)
         self.votes = np.log2(1.0 + self.count)
-        weights = self.weigh(terms)
-        window, slot = np.nonzero(terms >= 0)
-        flat, weight = terms[window, slot], weights[window, slot]
+        window, slot = np.nonzero(at >= 0)
+        flat, weight = at[window, slot], weight[window, slot]
         order = np.lexsort((window, flat))
         flat, self.window, self.weight = flat[order], window[order].astype(np.int32), weight[order].astype(np.float32)
-        self.vocabulary, first = np.unique(flat, return_index=True)
         # runs of postings of one term in one block, with their largest weight
         block = self.window // BLOCK
         edge = np.ones(len(flat), bool)
@@ -179,7 +223,8 @@ class BlockMaxIndex:
         self.run = np.append(np.flatnonzero(edge), len(flat))
         self.run_block = block[self.run[:-1]]
         self.run_max = np.maximum.reduceat(self.weight, self.run[:-1]) if len(flat) else np.empty(0, np.float32)
-        self.term_run = np.append(np.searchsorted(self.run, first), len(self.run) - 1)
+        run_term = flat[self.run[:-1]]
+        self.term_run = np.searchsorted(run_term, np.arange(len(weights.vocabulary) + 1))
         self.blocks = int(block.max()) + 1 if len(flat) else 0
         # the last block with an abusive window, and where each term's runs up to it end
         self.hot_blocks = int(np.flatnonzero(self.labels > 0.5).max()) // BLOCK + 1 if (self.labels > 0.5).any() else 0
@@ -187,67 +232,67 @@ class BlockMaxIndex:
         self.hot_run = self.term_run[1:] - (cold[self.term_run[1:]] - cold[self.term_run[:-1]])
         hot = np.where(self.labels[self.window] > 0.5, self.weight, 0) if len(flat) else np.empty(0, np.float32)
         self.run_hot = np.maximum.reduceat(hot, self.run[:-1]) if len(flat) else np.empty(0, np.float32)
-        self.hot_max = np.maximum.reduceat(hot, first) if len(flat) else np.empty(0, np.float32)
-
-    def weigh(self, terms: np.ndarray) -> np.ndarray:
-        """Unit TF-IDF weights (presence) of windows, 0 on padding."""
-        weights = np.where(terms >= 0, self.idf[_bucket(np.maximum(terms, 0))], 0)
-        return weights / np.maximum(np.sqrt((weights**2).sum(axis=1, keepdims=True)), 1e-9)
-
-    def look_up(self, terms: np.ndarray) -> np.ndarray:
-        """Place of each term in the vocabulary, -1 for others."""
-        if not len(self.vocabulary):
-            return np.full(terms.shape, -1)
-        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == terms, at, -1)
+        self.hot_max = np.zeros(len(weights.vocabulary), np.float32)
+        np.maximum.at(self.hot_max, run_term, self.run_hot)
 
     def hot_bounds(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The most that any abusive example's cosine can be, for each window of a batch."""
         return (np.where(at >= 0, self.hot_max[at], 0) * weights).sum(axis=1) if len(self.hot_max) else np.zeros(len(at))
 
-    @staticmethod
-    def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        sizes = end - begin
-        out = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        return out + np.arange(len(out))
-
-    def search(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float, hot: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine of at least ``floor``, best first; ties in an order blind to labels.
-
-        With ``hot`` only the blocks with abusive examples are searched.
-        """
-        ends = self.hot_run[at] if hot else self.term_run[at + 1]
-        runs = self._ranges(self.term_run[at], ends)
-        owner = np.repeat(np.arange(len(at)), ends - self.term_run[at])
-        blocks = self.run_block[runs]
-        bound = np.bincount(blocks, weights=(self.run_hot if hot else self.run_max)[runs] * weights[owner], minlength=self.blocks)
-        by_bound = np.flatnonzero(bound >= floor)
-        by_bound = by_bound[np.argsort(-bound[by_bound])]
-        found, cosines = np.empty(0, np.int64), np.empty(0)
-        least, begin, size = floor, 0, 6
-        while begin < len(by_bound) and bound[by_bound[begin]] >= least:
-            chosen = np.zeros(self.blocks, bool)
-            chosen[by_bound[begin : begin + size]] = True
-            keep = chosen[blocks]
-            some, who = runs[keep], owner[keep]
-            begun, ended = self.run[some], self.run[some + 1]
-            posts = self._ranges(begun, ended)
-            place = np.cumsum(chosen) - 1
-            windows_ = self.window[posts]
-            scores = np.bincount(place[windows_ // BLOCK] * BLOCK + windows_ % BLOCK, weights=self.weight[posts] * np.repeat(weights[who], ended - begun))
-            good = np.flatnonzero(scores >= least)
-            near = np.flatnonzero(chosen)[good // BLOCK] * BLOCK + good % BLOCK
+    def search(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float, hot: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, example, cosine): the k examples of highest cosine of at least ``floor`` of each window, windows in
+        order and best first; ties in an order blind to labels. With ``hot`` only abusive examples are searched."""
+        blocks = self.hot_blocks if hot else self.blocks
+        parts = [self._search(at[c : c + self.CHUNK], weights[c : c + self.CHUNK], k, floor, hot, blocks, c) for c in range(0, len(at), self.CHUNK)] if blocks else []
+        if not parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        window, example, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return window, example, cosine
+
+    def _search(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float, hot: bool, blocks: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, slot = np.nonzero(at >= 0)
+        term, weight = at[row, slot], weights[row, slot]
+        begin, end = self.term_run[term], self.hot_run[term] if hot else self.term_run[term + 1]
+        runs, row, weight = _ranges(begin, end), np.repeat(row, end - begin), np.repeat(weight, end - begin)
+        cell = row * blocks + self.run_block[runs]
+        bound = np.bincount(cell, weights=(self.run_hot if hot else self.run_max)[runs] * weight, minlength=len(at) * blocks).reshape(len(at), blocks)
+
+        def exact(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keep = chosen.reshape(-1)[cell]
+            some, cells = runs[keep], np.cumsum(chosen.reshape(-1)) - 1
+            size = self.run[some + 1] - self.run[some]
+            posts = _ranges(self.run[some], self.run[some + 1])
+            slots = np.repeat(cells[cell[keep]] * BLOCK, size) + self.window[posts] % BLOCK
+            scores = np.bincount(slots, weights=self.weight[posts] * np.repeat(weight[keep], size))
+            good = np.flatnonzero(scores >= floor)
+            of = np.flatnonzero(chosen.reshape(-1))[good // BLOCK]
+            example = of % blocks * BLOCK + good % BLOCK
             if hot:
-                abusive = self.labels[near] > 0.5
-                good, near = good[abusive], near[abusive]
-            found, cosines = np.concatenate([found, near]), np.concatenate([cosines, scores[good]])
-            if len(found) > k:
-                top = np.lexsort((self.tie[found], -np.round(cosines, 6)))[:k]
-                found, cosines = found[top], cosines[top]
-                least = max(floor, cosines[-1])
-            begin, size = begin + size, size * 4
-        top = np.lexsort((self.tie[found], -np.round(cosines, 6)))
-        return found[top], cosines[top]
+                abusive = self.labels[example] > 0.5
+                good, of, example = good[abusive], of[abusive], example[abusive]
+            return of // blocks, example, scores[good]
+
+        def best(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            window, example, cosine = found
+            order = np.lexsort((self.tie[example], -np.round(cosine, 6), window))
+            window = window[order]
+            rank = np.arange(len(window)) - np.searchsorted(window, window)
+            top = rank < k
+            return window[top], example[order][top], cosine[order][top], rank[top]
+
+        able = bound >= floor - 1e-6
+        if blocks > 2 * self.FIRST_BLOCKS:
+            edge = -np.partition(-bound, self.FIRST_BLOCKS - 1, axis=1)[:, self.FIRST_BLOCKS - 1]
+            first = able & (bound >= edge[:, None])
+            window, example, cosine, rank = best(exact(first))
+            least = np.full(len(at), floor)
+            full = rank == k - 1
+            least[window[full]] = cosine[full]
+            more = exact(able & ~first & (bound >= least[:, None] - 1e-6))
+            window, example, cosine, _ = best(tuple(np.concatenate(x) for x in zip((window, example, cosine), more, strict=True)))
+        else:
+            window, example, cosine, _ = best(exact(able))
+        return window + base, example, cosine
 
     def vote(self, found: np.ndarray, cosines: np.ndarray, but: int | None = None) -> float:
         """Distance-weighted share of abusive examples, as if document ``but`` (an index) had not been labelled."""
@@ -265,8 +310,9 @@ class BlockMaxIndex:
         weight = cosines**4 * votes
         return float((weight * labels).sum() / (weight.sum() + SHRINK))
 
-    def first_doc(self, example: int) -> int:
-        return int(self.docs[self.held_doc[self.held[example]]])
+    def elsewhere(self, example: int, doc: int) -> bool:
+        """Whether another document than ``doc`` has the example."""
+        return bool(self.count[example] > 1 or self.held_doc[self.held[example]] != doc)
 
 
 def score_documents(index: BlockMaxIndex, words: list[np.ndarray], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,21 +322,27 @@ def score_documents(index: BlockMaxIndex, words: list[np.ndarray], own: np.ndarr
     terms, owner = windows(words)
     if not len(terms) or not index.hot_blocks:
         return score, evidence, cosine
-    terms, same = np.unique(terms, axis=0, return_inverse=True) if own is None else (terms, np.arange(len(terms)))
-    weights, at = index.weigh(terms), index.look_up(terms)
+    same = np.arange(len(terms))
+    if own is None:
+        mixer = np.random.default_rng(5).integers(1, 2**63, terms.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        _, first, same = np.unique(((terms.astype(np.uint64) ^ (terms.astype(np.uint64) >> np.uint64(15))) * mixer).sum(axis=1), return_index=True, return_inverse=True)
+        terms, same = terms[first], same.reshape(-1)
+    at, weights = index.weights.of(terms)
     value, best, nearest = np.zeros(len(terms)), np.full(len(terms), -1, np.int64), np.zeros(len(terms))
-    for w in np.flatnonzero(index.hot_bounds(at, weights) >= FLOOR):
-        known = at[w] >= 0
-        mine, heavy = at[w][known], weights[w][known]
-        # without an abusive example in reach the vote is 0, whatever else is near
-        first, _ = index.search(mine, heavy, 1, FLOOR, hot=True)
-        if len(first):
-            found, cosines = index.search(mine, heavy, NEIGHBOURS, FLOOR)
-            value[w] = index.vote(found, cosines, None if own is None else own[owner[w]])
-            hot = np.flatnonzero(index.labels[found] > 0.5)
-            if len(hot):
-                best[w], nearest[w] = index.first_doc(found[hot[0]]), cosines[hot[0]]
-    same = same.reshape(-1)
+    # without an abusive example in reach the vote is 0, whatever else is near
+    near = np.flatnonzero(index.hot_bounds(at, weights) >= FLOOR)
+    near = near[np.unique(index.search(at[near], weights[near], 1, FLOOR, hot=True)[0])]
+    window, found, cosines = index.search(at[near], weights[near], NEIGHBOURS, FLOOR)
+    if own is None:
+        weight = cosines**4 * index.votes[found]
+        hot = np.bincount(window, weights=weight * index.labels[found], minlength=len(near))
+        value[near] = hot / (np.bincount(window, weights=weight, minlength=len(near)) + SHRINK)
+    else:
+        edge = np.searchsorted(window, np.arange(len(near) + 1))
+        for n, w in enumerate(near):
+            value[w] = index.vote(found[edge[n] : edge[n + 1]], cosines[edge[n] : edge[n + 1]], own[owner[w]])
+    hot = np.flatnonzero(index.labels[found] > 0.5)[::-1]  # the best one of a window comes last and stays
+    best[near[window[hot]]], nearest[near[window[hot]]] = index.docs[index.held_doc[index.held[found[hot]]]], cosines[hot]
     order = np.lexsort((value[same], owner))
     last = np.append(owner[order][1:] != owner[order][:-1], True)
     docs, pick = owner[order][last], same[order][last]
@@ -299,20 +351,24 @@ def score_documents(index: BlockMaxIndex, words: list[np.ndarray], own: np.ndarr
     return score, evidence, cosine
 
 
-def cleaned(index: BlockMaxIndex, words: list[np.ndarray], places: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For abusive documents: (place, votes of its windows, cosine of each one's nearest example elsewhere)."""
+def cleaned(index: BlockMaxIndex, words: list[np.ndarray], places: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For abusive documents: (place, votes of its windows, cosine of each one's nearest example elsewhere, whether what
+    is loosely like it is mostly harmless)."""
     terms, owner = windows(words)
     if not len(terms):
         return []
-    weights, at = index.weigh(terms), index.look_up(terms)
-    votes, nearest = np.zeros(len(terms)), np.zeros(len(terms))
+    at, weights = index.weights.of(terms)
+    votes, nearest, harmless = np.zeros(len(terms)), np.zeros(len(terms)), np.zeros(len(terms), bool)
+    window, found, cosines = index.search(at, weights, LOOSE, LOOSE_FLOOR)
+    edge = np.searchsorted(window, np.arange(len(terms) + 1))
     for w in range(len(terms)):
-        me, known = places[owner[w]], at[w] >= 0
-        found, cosines = index.search(at[w][known], weights[w][known], NEIGHBOURS, FLOOR)
-        votes[w] = index.vote(found, cosines, me)
-        elsewhere = [c for e, c in zip(found, cosines, strict=True) if index.count[e] > 1 or index.held_doc[index.held[e]] != me]
-        nearest[w] = elsewhere[0] if elsewhere else 0.0
-    return [(int(places[k]), votes[owner == k], nearest[owner == k]) for k in range(len(words)) if (owner == k).any()]
+        me, some, near = places[owner[w]], found[edge[w] : edge[w + 1]], cosines[edge[w] : edge[w + 1]]
+        close = near[:NEIGHBOURS] >= FLOOR
+        votes[w] = index.vote(some[:NEIGHBOURS][close], near[:NEIGHBOURS][close], me)
+        others = np.array([index.elsewhere(e, me) for e in some], bool)
+        nearest[w] = near[others][0] if others.any() else 0.0
+        harmless[w] = others.sum() >= LEAST_LOOSE and np.average(index.labels[some[others]], weights=near[others] ** 2) < LOOSE_SHARE
+    return [(int(places[k]), votes[owner == k], nearest[owner == k], harmless[owner == k]) for k in range(len(words)) if (owner == k).any()]
 
 
 def labelled_sample(labels: DataFrame, most_abusive: int = MOST_ABUSIVE, most_other: int = MOST_OTHER) -> DataFrame:
@@ -325,48 +381,68 @@ def labelled_sample(labels: DataFrame, most_abusive: int = MOST_ABUSIVE, most_ot
 
 
 def _voted(asked: DataFrame, shared: Broadcast) -> DataFrame:
-    """(place, votes, nearest) of each asked document's windows."""
+    """(place, votes, nearest, harmless) of each asked document's windows."""
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = cleaned(shared.value, pdf["words"].to_list(), pdf["place"].to_numpy())
-            yield pd.DataFrame({"place": [p for p, *_ in done], "votes": [v for _, v, _ in done], "nearest": [n for *_, n in done]})
+            yield pd.DataFrame(dict(zip(("place", "votes", "nearest", "harmless"), map(list, zip(*done, strict=True)), strict=True)) if done else {"place": [], "votes": [], "nearest": [], "harmless": []})
+
+    return asked.mapInPandas(clean, "place long, votes array<double>, nearest array<double>, harmless array<boolean>")
+
 
-    return asked.mapInPandas(clean, "place long, votes array<double>, nearest array<double>")
+def level_of(score: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, tuple[float, float, float] | None]:
+    """(level, (F1, precision, recall) at it): the highest level whose F1 is within a standard error of the best one.
+
+    Labelled documents are richer in abuse than others, so where F1 is flat the lower levels only look as good.
+    """
+    order = np.argsort(-score, kind="stable")
+    score, hit = score[order], (weight * toxic)[order]
+    hits, called = np.cumsum(hit), np.cumsum(weight[order])
+    if not len(order) or hits[-1] == 0:
+        return 0.5, None
+    f1 = np.where(np.append(score[:-1] > score[1:], True) & (score > 0.2), 2 * hits / (called + hits[-1]), 0)
+    best = f1.max()
+    if best == 0:
+        return 0.5, None
+    pick = int(np.flatnonzero(f1 >= best - np.sqrt(best * (1 - best) / max(1, (toxic > 0).sum())))[0])
+    return float((score[pick] + (score[pick + 1] if pick + 1 < len(score) else 0)) / 2), (f1[pick], hits[pick] / called[pick], hits[pick] / hits[-1])
 
 
 def build(words: DataFrame, labels: DataFrame) -> tuple[BlockMaxIndex, float]:
-    """The cleaned index and the score from which a document is flagged (best F1 on the labelled sample, left out)."""
+    """The cleaned index and the score from which a document is flagged (:func:`level_of` the labelled sample, left out)."""
     spark = words.sparkSession
-    counted = words.mapInPandas(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # bounded
-    whole = int(counted.loc[counted["bucket"] == -1, "n"].sum())
-    counts = np.zeros(COUNT_BUCKETS)
-    real = counted[counted["bucket"] >= 0]
-    counts[real["bucket"]] = real["n"]
-    idf = np.log1p(whole / (1.0 + counts)).astype(np.float32)
-
     sample = words.join(F.broadcast(labelled_sample(labels)), "doc_id").select("doc_id", "toxic", "stands_for", "words").dropDuplicates(["doc_id"]).orderBy(F.desc("toxic"), "doc_id").toPandas()
     docs, toxic, lists = sample["doc_id"].to_numpy(np.int64), sample["toxic"].to_numpy(), sample["words"].to_list()
     terms, owner = windows(lists)
+    vocabulary = np.unique(terms[terms >= 0])
+    asked_terms = spark.sparkContext.broadcast(vocabulary)  # bounded by the sample
+    counted = words.mapInPandas(lambda batches: _counted(batches, asked_terms.value), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # bounded
+    counts = np.zeros(len(vocabulary) + COUNT_BUCKETS + 1)
+    counts[counted["place"]] = counted["n"]
+    idf = np.log1p(counts[-1] / (1.0 + counts[:-1]))
+    weights = Weights(vocabulary, idf[: len(vocabulary)], idf[len(vocabulary) :])
+
     sample["place"] = np.arange(len(sample))
     hot = sample.loc[sample["toxic"] == 1, ["place", "words"]]
-    index = BlockMaxIndex(terms, idf, toxic[owner].astype(float), owner, docs)
+    index = BlockMaxIndex(terms, weights, toxic[owner].astype(float), owner, docs)
     if not len(hot):
         return index, 0.5
-    parts, edges = 4 * spark.sparkContext.defaultParallelism, np.searchsorted(owner, np.arange(len(sample) + 1))
+    parts, edges = 2 * spark.sparkContext.defaultParallelism, np.searchsorted(owner, np.arange(len(sample) + 1))
     asked = spark.createDataFrame(hot, "place long, words array<int>").repartition(parts)
     for level in SURE:
         votes_of = _voted(asked, spark.sparkContext.broadcast(index))  # both bounded by the sample
         truth = np.zeros(len(terms))
         for row in votes_of.collect():
             votes, nearest = np.array(row["votes"]), np.array(row["nearest"])
-            sure = votes >= level
-            if not sure.any() and nearest.min() < UNLIKE:
+            harmless = np.array(row["harmless"])
+            lone, sure = (nearest < UNLIKE) & ~harmless, (votes >= level) & ~harmless
+            if not sure.any() and lone.any():
                 # what is least like anything elsewhere, with the windows that overlap it
-                least = int(nearest.argmin())
-                sure = (np.abs(np.arange(len(nearest)) - least) <= 1) & (nearest < UNLIKE)
+                least = int(np.where(lone, nearest, 2).argmin())
+                sure = (np.abs(np.arange(len(nearest)) - least) <= 1) & lone
             truth[edges[row["place"]] : edges[row["place"] + 1]][sure] = 1
-        index = BlockMaxIndex(terms, idf, truth, owner, docs)
+        index = BlockMaxIndex(terms, weights, truth, owner, docs)
     fine = spark.sparkContext.broadcast(index)
 
     def leave_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -376,16 +452,8 @@ def build(words: DataFrame, labels: DataFrame) -> tuple[BlockMaxIndex, float]:
 
     judged = spark.createDataFrame(sample[["place", "toxic", "stands_for", "words"]], "place long, toxic int, stands_for double, words array<int>")
     scores = judged.repartition(parts).mapInPandas(leave_out, "toxic int, stands_for double, score double").toPandas()  # bounded by the sample
-    order = np.argsort(-scores["score"].to_numpy(), kind="stable")
-    weight = scores["stands_for"].to_numpy()[order]
-    hits, called = np.cumsum(weight * scores["toxic"].to_numpy()[order]), np.cumsum(weight)
-    f1 = 2 * hits / (called + hits[-1]) if len(order) else np.empty(0)
-    level = scores["score"].to_numpy()[order]
-    f1 = np.where(np.append(level[:-1] > level[1:], True) & (level > 0.2) & (level <= 0.8), f1, 0)
-    best = int(f1.argmax()) if len(f1) else 0
-    #: F1, precision and recall on the labelled sample, each document left out of its own vote
-    index.quality = (f1[best], hits[best] / called[best], hits[best] / hits[-1]) if len(f1) else None
-    return index, float((level[best] + (level[best + 1] if best + 1 < len(level) else 0)) / 2) if f1[best] else 0.5
+    level, index.quality = level_of(scores["score"].to_numpy(), scores["toxic"].to_numpy(), scores["stands_for"].to_numpy())
+    return index, level
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -400,8 +468,8 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for begin in range(0, len(pdf), 500):
-                part = pdf.iloc[begin : begin + 500]
+            for begin in range(0, len(pdf), 1000):
+                part = pdf.iloc[begin : begin + 1000]
                 score, evidence, cosine = score_documents(shared.value, part["words"].to_list())
                 near = pd.array(np.where(evidence < 0, 0, evidence), dtype="Int64")
                 near[evidence < 0] = pd.NA

@@ -238,20 +238,48 @@ def test_mix_reaches_its_shares(spark):
 
 
 # p10
-def test_block_max_search_equals_brute_force():
+def index_of(docs, idf, truth):
+    terms, owner = abuse.windows(docs)
+    vocabulary = np.unique(terms[terms >= 0])
+    weights = abuse.Weights(vocabulary, idf[abuse._bucket(vocabulary)], idf)
+    return terms, owner, abuse.BlockMaxIndex(terms, weights, truth(owner), owner, np.arange(len(docs)))
+
+
+def test_block_max_search_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(abuse, "BLOCK", 16)  # many blocks, so that both phases run
     rng = np.random.default_rng(4)
     docs = [np.append(rng.integers(1, 60, rng.integers(3, 30)), -1) for _ in range(150)]
-    terms, owner = abuse.windows(docs)
     idf = rng.random(abuse.COUNT_BUCKETS).astype(np.float32) + 0.1
-    index = abuse.BlockMaxIndex(terms, idf, (owner % 3 == 0).astype(float), owner, np.arange(150))
+    terms, _, index = index_of(docs, idf, lambda owner: (owner % 3 == 0).astype(float))
     examples = np.unique(terms, axis=0)
-    dense = index.weigh(examples)
-    for w in range(0, len(terms), 25):
-        weights, at = index.weigh(terms[w : w + 1])[0], index.look_up(terms[w : w + 1])[0]
-        found, cosines = index.search(at[at >= 0], weights[at >= 0], 7, 0.2)
-        brute = np.array([sum(weights[terms[w] == t].sum() * v for t, v in zip(e, d, strict=True) if t >= 0) for e, d in zip(examples, dense, strict=True)])
-        best = np.sort(brute[brute >= 0.2])[::-1][:7]
-        assert np.allclose(cosines, best, atol=1e-5)
+    asked = terms[::25]
+    at, weights = index.weights.of(asked)
+    dense, full = index.weights.of(examples)[1], np.zeros((len(examples), len(index.weights.vocabulary)))
+    for row, (e, d) in enumerate(zip(examples, dense, strict=True)):
+        full[row, index.weights.look_up(e[e >= 0])] = d[e >= 0]
+    for hot in (False, True):
+        window, found, cosines = index.search(at, weights, 7, 0.2, hot=hot)
+        for w in range(len(asked)):
+            brute = sum(full[:, i] * x for i, x in zip(at[w], weights[w], strict=True) if i >= 0)
+            if not hot:
+                best = np.sort(brute[brute >= 0.2])[::-1][:7]
+                assert np.allclose(cosines[window == w], best, atol=1e-5)
+            assert not hot or (index.labels[found[window == w]] > 0.5).all()
+
+
+def test_windows_are_as_described():
+    docs = [np.array([*range(1, 14), -1, 20, 21, -1]), np.array([], int), np.array([-2, *range(1, 15), -1])]
+    terms, owner = abuse.windows(docs)
+    words_ = [sorted(t for t in row if 0 <= t < 1 << 31) for row in terms]
+    assert words_ == [[*range(1, 9)], [*range(5, 13)], [*range(6, 14)], [20, 21], [*range(1, 13)], [*range(3, 15)]] and owner.tolist() == [0, 0, 0, 0, 2, 2]
+
+
+def test_level_is_the_highest_that_is_as_good():
+    score = np.array([0.9] * 50 + [0.4] * 2 + [0.1] * 50)
+    toxic = np.array([1] * 50 + [1, 0] + [0] * 50)
+    level, (f1, precision, recall) = abuse.level_of(score, toxic, np.ones(102))
+    assert 0.4 < level < 0.9 and precision == 1 and recall > 0.97 and f1 > 0.98
+    assert abuse.level_of(np.zeros(0), np.zeros(0), np.zeros(0)) == (0.5, None)
 
 
 def test_spelling_tricks():
@@ -261,8 +289,7 @@ def test_spelling_tricks():
 
 def test_far_abusive_neighbours_vote():
     examples = [np.array([1, 2, 3, *range(1000 + 10 * k, 1003 + 10 * k), -1]) for k in range(10)]
-    terms, owner = abuse.windows(examples)
-    index = abuse.BlockMaxIndex(terms, np.ones(abuse.COUNT_BUCKETS, np.float32), np.ones(len(terms)), owner, np.arange(10))
+    *_, index = index_of(examples, np.ones(abuse.COUNT_BUCKETS, np.float32), lambda owner: np.ones(len(owner)))
     score, evidence, cosine = abuse.score_documents(index, [np.array([1, 2, 3, *range(500, 505), -1])])
     assert abs(cosine[0] - 5 / 165**0.5) < 1e-5 and 0.7 < score[0] < 0.8 and evidence[0] >= 0
 
