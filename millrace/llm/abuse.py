@@ -42,7 +42,7 @@ SURE = (0.8, 0.5)
 UNLIKE = 0.45
 #: A window is harmless, whatever its few nearest say, if of its LOOSE nearest examples above LOOSE_FLOOR, at least
 #: LEAST_LOOSE, a smaller share than LOOSE_SHARE is abusive.
-LOOSE, LEAST_LOOSE, LOOSE_FLOOR, LOOSE_SHARE = 40, 4, 0.2, 0.5
+LOOSE, LEAST_LOOSE, LOOSE_FLOOR, LOOSE_SHARE = 40, 8, 0.2, 0.35
 BLOCK = 128
 COUNT_BUCKETS = 1 << 18
 
@@ -209,6 +209,7 @@ class BlockMaxIndex:
         at, weight, self.count, self.hits, self.tie = at[order], weight[order], count[order], hits[order], mixed[order]
         by_example = np.argsort(place[held[0]], kind="stable")
         self.held_doc, self.held_truth = held[1][by_example], truth[first][by_example]
+        self.held_key = np.repeat(np.arange(len(terms)), self.count) * len(docs) + self.held_doc
         self.held = np.append(0, np.cumsum(self.count))
         self.labels = abusive[order].astype(np.float32)
         self.votes = np.log2(1.0 + self.count)
@@ -294,25 +295,18 @@ class BlockMaxIndex:
             window, example, cosine, _ = best(exact(able))
         return window + base, example, cosine
 
-    def vote(self, found: np.ndarray, cosines: np.ndarray, but: int | None = None) -> float:
-        """Distance-weighted share of abusive examples, as if document ``but`` (an index) had not been labelled."""
-        if not len(found):
-            return 0.0
+    def vote(self, window: np.ndarray, found: np.ndarray, cosine: np.ndarray, windows_: int, own: np.ndarray | None = None) -> np.ndarray:
+        """Distance-weighted share of abusive examples of each window, as if its document ``own`` (an index) had not been
+        labelled."""
         labels, votes = self.labels[found], self.votes[found]
-        if but is not None:
-            labels, votes = labels.copy(), votes.copy()
-            for n, e in enumerate(found):
-                mine = np.flatnonzero(self.held_doc[self.held[e] : self.held[e + 1]] == but)
-                if len(mine):
-                    left = self.count[e] - 1
-                    hits = self.hits[e] - self.held_truth[self.held[e] + mine[0]]
-                    labels[n], votes[n] = float(left and 2 * hits >= left), np.log2(1.0 + left)
-        weight = cosines**4 * votes
-        return float((weight * labels).sum() / (weight.sum() + SHRINK))
-
-    def elsewhere(self, example: int, doc: int) -> bool:
-        """Whether another document than ``doc`` has the example."""
-        return bool(self.count[example] > 1 or self.held_doc[self.held[example]] != doc)
+        if own is not None and len(found):
+            key = found * len(self.docs) + own[window]
+            at = np.minimum(np.searchsorted(self.held_key, key), len(self.held_key) - 1)
+            mine, left, hits = self.held_key[at] == key, self.count[found] - 1, self.hits[found] - self.held_truth[at]
+            labels = np.where(mine, (left > 0) & (2 * hits >= left), labels)
+            votes = np.where(mine, np.log2(1.0 + left), votes)
+        weight = cosine**4 * votes
+        return np.bincount(window, weights=weight * labels, minlength=windows_) / (np.bincount(window, weights=weight, minlength=windows_) + SHRINK)
 
 
 def score_documents(index: BlockMaxIndex, words: list[np.ndarray], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -333,14 +327,7 @@ def score_documents(index: BlockMaxIndex, words: list[np.ndarray], own: np.ndarr
     near = np.flatnonzero(index.hot_bounds(at, weights) >= FLOOR)
     near = near[np.unique(index.search(at[near], weights[near], 1, FLOOR, hot=True)[0])]
     window, found, cosines = index.search(at[near], weights[near], NEIGHBOURS, FLOOR)
-    if own is None:
-        weight = cosines**4 * index.votes[found]
-        hot = np.bincount(window, weights=weight * index.labels[found], minlength=len(near))
-        value[near] = hot / (np.bincount(window, weights=weight, minlength=len(near)) + SHRINK)
-    else:
-        edge = np.searchsorted(window, np.arange(len(near) + 1))
-        for n, w in enumerate(near):
-            value[w] = index.vote(found[edge[n] : edge[n + 1]], cosines[edge[n] : edge[n + 1]], own[owner[w]])
+    value[near] = index.vote(window, found, cosines, len(near), None if own is None else own[owner[near]])
     hot = np.flatnonzero(index.labels[found] > 0.5)[::-1]  # the best one of a window comes last and stays
     best[near[window[hot]]], nearest[near[window[hot]]] = index.docs[index.held_doc[index.held[found[hot]]]], cosines[hot]
     order = np.lexsort((value[same], owner))
@@ -358,16 +345,17 @@ def cleaned(index: BlockMaxIndex, words: list[np.ndarray], places: np.ndarray) -
     if not len(terms):
         return []
     at, weights = index.weights.of(terms)
-    votes, nearest, harmless = np.zeros(len(terms)), np.zeros(len(terms)), np.zeros(len(terms), bool)
     window, found, cosines = index.search(at, weights, LOOSE, LOOSE_FLOOR)
-    edge = np.searchsorted(window, np.arange(len(terms) + 1))
-    for w in range(len(terms)):
-        me, some, near = places[owner[w]], found[edge[w] : edge[w + 1]], cosines[edge[w] : edge[w + 1]]
-        close = near[:NEIGHBOURS] >= FLOOR
-        votes[w] = index.vote(some[:NEIGHBOURS][close], near[:NEIGHBOURS][close], me)
-        others = np.array([index.elsewhere(e, me) for e in some], bool)
-        nearest[w] = near[others][0] if others.any() else 0.0
-        harmless[w] = others.sum() >= LEAST_LOOSE and np.average(index.labels[some[others]], weights=near[others] ** 2) < LOOSE_SHARE
+    me, size = places[owner], len(terms)
+    close = (cosines >= FLOOR) & (np.arange(len(window)) - np.searchsorted(window, window) < NEIGHBOURS)
+    votes = index.vote(window[close], found[close], cosines[close], size, me)
+    others = (index.count[found] > 1) | (index.held_doc[index.held[found]] != me[window])
+    window, found, cosines = window[others], found[others], cosines[others]
+    nearest, first = np.zeros(size), np.unique(window, return_index=True)
+    nearest[first[0]] = cosines[first[1]]
+    weight = np.bincount(window, weights=cosines**2, minlength=size)
+    abusive_share = np.bincount(window, weights=cosines**2 * index.labels[found], minlength=size) / np.maximum(weight, 1e-9)
+    harmless = (np.bincount(window, minlength=size) >= LEAST_LOOSE) & (abusive_share < LOOSE_SHARE)
     return [(int(places[k]), votes[owner == k], nearest[owner == k], harmless[owner == k]) for k in range(len(words)) if (owner == k).any()]
 
 
@@ -392,7 +380,7 @@ def _voted(asked: DataFrame, shared: Broadcast) -> DataFrame:
 
 
 def level_of(score: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, tuple[float, float, float] | None]:
-    """(level, (F1, precision, recall) at it): the highest level whose F1 is within a standard error of the best one.
+    """(level, (F1, precision, recall) at it): the highest level whose F1 is within a quarter of a standard error of the best one.
 
     Labelled documents are richer in abuse than others, so where F1 is flat the lower levels only look as good.
     """
@@ -405,7 +393,7 @@ def level_of(score: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[
     best = f1.max()
     if best == 0:
         return 0.5, None
-    pick = int(np.flatnonzero(f1 >= best - np.sqrt(best * (1 - best) / max(1, (toxic > 0).sum())))[0])
+    pick = int(np.flatnonzero(f1 >= best - 0.25 * np.sqrt(best * (1 - best) / max(1, (toxic > 0).sum())))[0])
     return float((score[pick] + (score[pick + 1] if pick + 1 < len(score) else 0)) / 2), (f1[pick], hits[pick] / called[pick], hits[pick] / hits[-1])
 
 
