@@ -34,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch(spark: SparkSession, shared: bool = False) -> str:
+    """A folder in the shared folder for what operators write: this application's own, or one that outlives it."""
+    return f"{shared_dir(spark)}/millrace{'' if shared else '-' + spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's own folder; no frame that reads from it may be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage; survives lost executors."""
     spark = df.sparkSession

@@ -67,4 +67,44 @@ def test_publishing_twice_changes_nothing(spark):
     assert capture.publish(rows, plan).count() == 1
     assert capture.publish(rows.limit(0), plan).count() == 1
     with pytest.raises(Exception, match="another run"):
-        capture._write("published/0.json", {})
+        capture.write("published/0.json", {})
+
+
+def test_only_new_offsets_are_read_and_state_is_kept_by_folder(spark, tmp_path):
+    done, runs = spark.createDataFrame([], PROCESSED), spark.createDataFrame([], RUNS)
+    folder, plans = f"{tmp_path}/journal.parquet", []
+    journal(spark, [(n, f"k{n}", "old", T[0]) for n in range(300)]).write.parquet(folder)
+    for rows in ([], [(300, "k1", "new", T[1]), (301, "k2", "late", None)], [(302, "k300", "first", T[0])]):
+        if rows:
+            journal(spark, rows).write.mode("append").parquet(folder)
+        found = changes_to_process(spark, spark.read.parquet(folder), done, runs)
+        plans.append(sorted(tuple(r) for r in found.collect()))
+    assert len(plans[0]) == 300 and ("k1", "old") in plans[0]
+    assert len(plans[1]) == 300 and ("k1", "new") in plans[1] and ("k2", "old") in plans[1]
+    assert len(plans[2]) == 301
+    assert plans[2] == sorted(tuple(r) for r in changes_to_process(spark, spark.read.parquet(folder), done, runs).collect())
+    log = journal_log(spark.read.parquet(folder))
+    begin = {str(p): 299 for p in range(64)}
+    plan = ChangeCapture(spark).slice(log, {"begin": begin, "end": {str(p): 302 for p in range(64)}})
+    assert "GreaterThan(seq,299)" in plan._jdf.queryExecution().toString() and plan.count() == 3
+    journal(spark, [(1, "z", "other", T[0])]).write.mode("overwrite").parquet(folder)
+    assert [tuple(r) for r in changes_to_process(spark, spark.read.parquet(folder), done, runs).collect()] == [("z", "other")]
+
+
+def test_content_is_compacted_and_a_crash_before_the_marker_is_replayed(spark, monkeypatch):
+    from millrace.operators import capture as module
+
+    monkeypatch.setattr(module, "COMPACT", 2)
+    nothing = committed_content(spark.createDataFrame([], PROCESSED), spark.createDataFrame([], RUNS))
+    capture, rows, seen = ChangeCapture(spark), [], {}
+    for n in range(5):
+        rows += [(10 * n + 1, "a", f"a{n}", T[n]), (10 * n + 2, f"k{n}", "x", T[n]), (10 * n + 3, "a", "late", T[0])]
+        log = journal_log(journal(spark, rows), 4)
+        capture.absorb(log)  # the run dies after the content was written
+        capture = ChangeCapture(spark, capture.home)
+        got = [(r.sample_id, r.fingerprint) for r in capture.run(log, nothing).collect()]
+        assert len(got) == len(set(got)) and not set(got) & seen.keys()
+        seen |= dict.fromkeys(got)
+    assert {k for k, _ in seen} == {"a", *(f"k{n}" for n in range(5))} and ("a", "a4") in seen
+    assert {(r.sample_id, r.fingerprint) for r in capture.published().collect()} >= {("a", "a4"), ("k0", "x")}
+    assert capture.content().count() == 6
