@@ -1,21 +1,21 @@
 """Problem 3: splits that keep related records together.
 
-Sample names are the nodes; a candidate with two different names is an edge. A component table (node, component, split)
-is persisted after each run. A run merges the stored components with the new edges by pointer jumping; merged components
-keep the split they had, new ones fill what is missing to the target shares, and merges of components with different
-splits are quarantined: they get no split until someone decides.
+Sample names are the nodes; a candidate with two different names is an edge. What is persisted after each run: the names
+it saw first with their component, the ids it saw first, and the component table (component, root, split, ids). A run looks
+up the names it meets, merges their roots by pointer jumping and rewrites the component table; names and ids of earlier runs
+are never rewritten. Merged components keep the split they had, new ones fill what is missing to the target shares, and a
+component that was merged from components of different splits is quarantined: it has no split until :meth:`SplitTable.resolve`.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.operators.components import components
-from millrace.session import cut, shared_dir
+from millrace.operators.ledger import Ledger
+from millrace.session import cut
 
 ITEM_MARK = "::item-"
 _BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -41,22 +41,13 @@ def candidate_names(candidates: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
-def families(candidates: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """(sample_id, component) of every candidate id that names a sample. ``stored`` (node, component) joins in."""
-    names = cut(candidate_names(candidates))
-    edges = names.where("own <> given").select(F.col("own").alias("x"), F.col("given").alias("y"))
-    if stored is not None:
-        edges = edges.unionByName(stored.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")))
-    found = components(edges)
-    rows = names.select("sample_id", F.coalesce("own", "given").alias("node")).where("node is not null")
-    return rows.join(found, "node", "left").select("sample_id", "node", F.coalesce("component", "node").alias("component"))
-
-
 def family_rows(candidates: DataFrame) -> DataFrame:
     """p3_found: (lead_id, sample_id) of each family of two or more ids, its least id in byte order leading."""
-    rows = cut(families(candidates).select("sample_id", "component").distinct())
+    table = SplitTable(candidates.sparkSession)
+    table.absorb(candidates)
+    rows = cut(table.items().distinct())
     leads = rows.groupBy("component").agg(F.min("sample_id").alias("lead_id"), F.max("sample_id").alias("last")).where("lead_id <> last")
-    return rows.join(leads, "component").where("sample_id <> lead_id").select("lead_id", "sample_id").distinct()
+    return rows.join(leads, "component").where("sample_id <> lead_id").select("lead_id", "sample_id")
 
 
 def _fill(new: DataFrame, held: dict[str, int], targets: dict[str, float]) -> DataFrame:
@@ -94,47 +85,101 @@ def _fill(new: DataFrame, held: dict[str, int], targets: dict[str, float]) -> Da
     return rest.unionByName(new.sparkSession.createDataFrame(placed, "component string, split string"))
 
 
-class SplitTable:
-    """The persisted component table, one folder a version under ``home`` in the shared folder."""
+class SplitTable(Ledger):
+    """The persisted tables under ``home`` in the shared folder; opened anew, the newest published version counts.
+
+    ``names/v`` (node, component) and ``ids/v`` (sample_id, node) hold what version v saw first, ``roots/v`` (component,
+    root, split, ids) all components: ``ids`` counts what was added to the component itself, ``split`` is what it was
+    given when it was a root. A version counts once its marker is written; what a run that died has left is overwritten.
+    """
 
     def __init__(self, spark: SparkSession, home: str | None = None) -> None:
-        self.spark = spark
-        self.home = home or f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
-        self.version = 0
+        super().__init__(spark, home, "splits")
+        self.version = self.last("published") + 1
+
+    def _stored(self, kind: str) -> DataFrame:
+        versions = [self.version] if kind == "roots" else range(1, self.version + 1)
+        return self.spark.read.parquet(*(f"{self.home}/{kind}/{v}" for v in versions))
+
+    def items(self) -> DataFrame:
+        """(sample_id, component) of every id seen, by the root its component has now; no rows before the first run."""
+        if not self.version:
+            return self.spark.createDataFrame([], "sample_id string, component string")
+        return self._rooted(self._stored("ids")).select("sample_id", "component")
+
+    def _rooted(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (node, ...) with the present root of each known node as ``component``."""
+        roots = self._stored("roots")
+        found = rows.join(self._stored("names"), "node")
+        return found if self.version == 1 else found.join(roots.select("component", "root"), "component").drop("component").withColumnRenamed("root", "component")
+
+    def states(self) -> DataFrame:
+        """(component, split, splits, ids, quarantined) of each root."""
+        merged = self._stored("roots").groupBy(F.col("root").alias("component")).agg(F.collect_set("split").alias("splits"), F.sum("ids").alias("ids"))
+        return merged.select("component", F.when(F.size("splits") == 1, F.col("splits")[0]).alias("split"), "splits", "ids", (F.size("splits") > 1).alias("quarantined"))
+
+    def _publish(self, roots: DataFrame) -> None:
+        roots.write.mode("overwrite").parquet(f"{self.home}/roots/{self.version + 1}")
+        self.write(f"published/{self.version}.json", {"version": self.version + 1})
+        self.version += 1
 
-    def current(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.home}/{self.version}") if self.version else None
+    def absorb(self, candidates: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+        """Merge the candidates' names into the components and, with ``targets``, give splits to components that have
+        none; returns the distinct ids (sample_id, node) met. Null ids and ids without a name drop out."""
+        shares = {r["split"]: float(r["share"]) for r in targets.where("split is not null and share > 0").collect()} if targets is not None else {}  # a row a split
+        if targets is not None and not shares:
+            raise ValueError("split_targets names no split with a positive share")
+        pairs = cut(candidate_names(candidates))
+        met = pairs.select("sample_id", F.coalesce("own", "given").alias("node")).where("node is not null").distinct()
+        nodes = pairs.select(F.explode(F.array("own", "given")).alias("node")).where("node is not null").distinct()
+        edges = pairs.where("own <> given").select(F.col("own").alias("x"), F.col("given").alias("y"))
+        if self.version:
+            known = cut(self._rooted(nodes))
+            edges = edges.unionByName(known.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")))
+            nodes = nodes.join(known, "node", "left_anti")
+            fresh = met.join(self._stored("ids"), ["sample_id", "node"], "left_anti")
+        else:
+            fresh = met
+        found = components(edges)
+        label = F.coalesce("component", "node").alias("component")
+        named = nodes.join(found, "node", "left").select("node", label)
+        named.write.mode("overwrite").parquet(f"{self.home}/names/{self.version + 1}")
+        fresh.write.mode("overwrite").parquet(f"{self.home}/ids/{self.version + 1}")
+        named, fresh = (self.spark.read.parquet(f"{self.home}/{kind}/{self.version + 1}") for kind in ("names", "ids"))
+        # a new id's node may be an old name, whose root may just have been merged
+        homes = named if not self.version else named.unionByName(known.select(F.col("component").alias("root"), "node").join(found.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("component", "root").alias("component")))
+        added = fresh.join(homes, "node").groupBy("component").agg(F.count(F.lit(1)).alias("more"))
+        labels = named.select("component").distinct()
+        if self.version:
+            old = self._stored("roots").join(found.select(F.col("node").alias("root"), F.col("component").alias("to")), "root", "left").select("component", F.coalesce("to", "root").alias("root"), "split", "ids")
+            labels = labels.unionByName(old.select(F.col("root").alias("component"))).distinct().join(old.select("component"), "component", "left_anti")
+        first = labels.select("component", F.col("component").alias("root"), F.lit(None).cast("string").alias("split"), F.lit(0).cast("long").alias("ids"))
+        roots = old.unionByName(first) if self.version else first
+        self._publish(roots.join(added, "component", "left").select("component", "root", "split", (F.col("ids") + F.coalesce("more", F.lit(0))).alias("ids")))
+        if targets is not None:
+            state = cut(self.states())
+            held = {r["split"]: r["n"] for r in state.where("split is not null").groupBy("split").agg(F.sum("ids").alias("n")).collect()}  # a row a split
+            new = _fill(state.where("size(splits) = 0").select("component", "ids"), held, shares).withColumnRenamed("split", "given")
+            self._publish(self._stored_roots_with(new))
+        return met
+
+    def _stored_roots_with(self, given: DataFrame) -> DataFrame:
+        """The component table with the splits of ``given`` (component, given); names and ids of this version are empty."""
+        for kind in ("names", "ids"):
+            self._stored(kind).limit(0).write.mode("overwrite").parquet(f"{self.home}/{kind}/{self.version + 1}")
+        return self._stored("roots").join(given, "component", "left").select("component", "root", F.coalesce("given", "split").alias("split"), "ids")
+
+    def resolve(self, decisions: DataFrame) -> None:
+        """End quarantines: each (component, split) sets the split of a root and of all that was merged into it."""
+        chosen = decisions.where("split is not null").select(F.col("component").alias("root"), F.col("split").alias("given"))
+        roots = self._stored("roots").join(chosen, "root", "left").select("component", "root", F.coalesce("given", "split").alias("split"), "ids")
+        self._stored_roots_with(self.spark.createDataFrame([], "component string, given string"))
+        self._publish(roots)
 
     def update(self, candidates: DataFrame, targets: DataFrame) -> DataFrame:
         """Take in candidates and return (sample_id, component, split, quarantined) of them."""
-        stored = self.current()
-        rows = cut(families(candidates, stored))
-        sizes = rows.groupBy("component").agg(F.countDistinct("sample_id").alias("ids"))
-        shares = {r["split"]: float(r["share"]) for r in targets.where("split is not null and share > 0").collect()}  # a row a split
-        if not shares:
-            raise ValueError("split_targets names no split with a positive share")
-        if stored is None:
-            known = self.spark.createDataFrame([], "component string, splits array<string>")
-            held: dict[str, int] = {}
-        else:
-            roots = components(
-                rows.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(
-                    stored.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y"))
-                )
-            )
-            moved = stored.join(roots.withColumnRenamed("component", "root"), "node", "left").select(F.coalesce("root", "component").alias("component"), "split", "ids")
-            known = moved.groupBy("component").agg(F.collect_set("split").alias("splits"))
-            held = {r["split"]: r["n"] for r in stored.where("node = component and split is not null").groupBy("split").agg(F.sum("ids").alias("n")).collect()}
-        state = cut(sizes.join(known, "component", "left"))
-        new = _fill(state.where("splits is null or size(splits) = 0").select("component", "ids"), held, shares)
-        old = state.where("size(splits) > 0").select("component", F.when(F.size("splits") == 1, F.col("splits")[0]).alias("split"))
-        decided = cut(new.unionByName(old))
-        fresh = rows.join(decided, "component", "left").join(sizes, "component").select("node", "component", "split", "ids")
-        fresh = fresh.unionByName(fresh.select(F.col("component").alias("node"), "component", "split", "ids")).distinct()
-        kept = fresh if stored is None else fresh.unionByName(stored.join(fresh.select("node"), "node", "left_anti").select("node", "component", "split", "ids"))
-        kept.write.mode("overwrite").parquet(f"{self.home}/{self.version + 1}")
-        self.version += 1
-        return rows.join(decided, "component", "left").select("sample_id", "component", "split", F.col("split").isNull().alias("quarantined")).distinct()
+        met = self.absorb(candidates, targets)
+        return self._rooted(met).join(self.states(), "component").select("sample_id", "component", "split", "quarantined")
 
 
 def split_candidates(spark: SparkSession, candidates: DataFrame, targets: DataFrame) -> DataFrame:

@@ -104,6 +104,33 @@ def test_families_and_splits_grow(spark):
     assert all(two[i].split == one[i][1] for i in untouched)
 
 
+def test_split_table_forgets_nothing(spark):
+    """Links and quarantines survive runs and reopening: given names, merged roots, old splits."""
+    shares = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split string, share double")
+
+    def run(table, *rows):
+        return {r.sample_id: r for r in table.update(spark.createDataFrame(list(rows), "sample_id string, source_sample_id string"), shares).collect()}
+
+    table = splits.SplitTable(spark)
+    first = run(table, ("a::item-0", "c"), ("m::item-0", "n"))
+    assert {first["a::item-0"].split, first["m::item-0"].split} == {"train", "test"}
+    again = splits.SplitTable(spark, table.home)
+    assert again.version == table.version
+    # a name that only source_sample_id told, together with one of another split
+    second = run(again, ("n::item-5", "c"))["n::item-5"]
+    assert second.quarantined and second.split is None and second.component == "a"
+    # both old families are now one, in any later run
+    third = run(splits.SplitTable(spark, table.home), ("m::item-7", None), ("a::item-3", None), ("q::item-0", None))
+    assert third["m::item-7"].quarantined and third["a::item-3"].quarantined and third["m::item-7"].component == "a"
+    assert not third["q::item-0"].quarantined and third["q::item-0"].split
+    last = splits.SplitTable(spark, table.home)
+    last.resolve(spark.createDataFrame([("a", "test")], "component string, split string"))
+    fourth = run(last, ("m::item-8", "0early"), ("c::item-1", None))
+    assert all(r.split == "test" and r.component == "0early" for r in fourth.values())
+    assert {r.sample_id: r.component for r in last.items().collect()} == dict.fromkeys(("a::item-0", "m::item-0", "n::item-5", "m::item-7", "a::item-3", "m::item-8", "c::item-1"), "0early") | {"q::item-0": "q"}
+    assert {r.component: r.ids for r in last.states().collect()} == {"0early": 7, "q": 1}
+
+
 def test_family_rows(spark):
     rows = [("a::item-00", "B"), ("b::item-00", None), ("c::item-00", " b "), ("d::item-00", "d"), ("d::item-00", "d"), (None, "a"), ("e::item-01", "")]
     got = {tuple(r) for r in splits.family_rows(spark.createDataFrame(rows, "sample_id string, source_sample_id string")).collect()}
