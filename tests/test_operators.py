@@ -112,6 +112,15 @@ def test_components_on_random_graphs(spark):
     assert components.components(spark.createDataFrame([], "x string, y string")).count() == 0
 
 
+def test_member_pairs_of_hot_classes(spark):
+    left = spark.createDataFrame([("big", n) for n in range(40)] + [("x", 100), ("lone", 7)], "cls string, id int")
+    right = spark.createDataFrame([("y", n) for n in range(30)] + [("big", 500)], "cls string, id int")
+    links = spark.createDataFrame([("big", "y", 0.5), ("x", "y", 0.9), ("x", "big", 0.8), ("none", "y", 1.0)], "cls_a string, cls_b string, w double")
+    want = sorted([(n, m, 0.5) for n in range(40) for m in range(30)] + [(100, m, 0.9) for m in range(30)] + [(100, 500, 0.8)])
+    for block in (1000, 7):
+        assert sorted((r.x, r.y, r.w) for r in pairs.member_pairs(links, left, right, block).collect()) == want
+
+
 def test_pairs_of_hot_groups_in_blocks(spark):
     rows = spark.range(50).select(F.col("id"), F.when(F.col("id") < 30, "hot").when(F.col("id") < 32, "two").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") % 3 == 0).alias("f"))
     for block in (4, 100):
