@@ -25,6 +25,9 @@ def near(a, b):
     [
         ("ｆｕｌｌ width", "full width", True), ("été", "été", True), ("a b", "a b", True), ("in​visi­ble", "invisible", True), ("pаypаl", "paypal", True), ("ﬁsh…", "fish...", True),
         ("Привет, как дела", "Пpивeт, кaк дeлa", True), ("Case", "case", False), ("cafe", "café", False), ("a, b", "a b", False), ("a  b", "a b", False), ("x²", "x2", False), ("👩‍💻", "👩💻", False),
+        ("vд", "νд", True), ("Nд", "Νд", True), ("Yк", "Υк", True), ("ɑbc", "abc", True), ("ɡood", "good", True), ("ρ", "p", True), ("υ", "u", True), ("Ꭺ", "A", True), ("հ", "h", True), ("ꓮΒС", "ABC", True),
+        ("e\u200b\u0301", "é", True), ("e\u0323\u0302", "ệ", True), ("e\u0302\u0323", "ệ", True), ("ê\u0323", "ệ", True), ("\u1112\u1161\u11ab", "한", True), ("=\u0338", "≠", True), ("a\u0316\u0301", "á\u0316", True),
+        ("a\u0301\u0300", "a\u0300\u0301", False), ("д", "d", False), ("б", "6", False),
     ],
 )
 def test_looks(a, b, same):
@@ -40,9 +43,30 @@ def test_canonical_is_idempotent(text):
 
 def test_conflicts_are_found():
     with pytest.raises(ValueError, match="conflict"):
-        canon.check_table({"x": "y", "y": "z"}, {})
+        canon.check_mapping({"x": "y", "y": "z"}, {})
     with pytest.raises(ValueError, match="conflict"):
-        canon.check_table({}, {"а": "б"})
+        canon.check_mapping({"а": "б"}, {"а": 0})
+    with pytest.raises(ValueError, match="conflict"):
+        canon.check_mapping({"abc": "x", "ab": "y", "yc": "z"}, {})
+    with pytest.raises(ValueError, match="two classes"):
+        canon.build_looks(["ab", "bc"])
+
+
+def test_every_character_has_one_form_however_it_is_made_up():
+    import unicodedata
+
+    for code in range(0x80, 0x30000):
+        char = chr(code)
+        if unicodedata.category(char) not in ("Cn", "Cs", "Co"):
+            form = canon.canonical(char)
+            assert canon.canonical(form) == form == canon.canonical(unicodedata.normalize("NFD", char)), hex(code)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(canon.ALIKE + [c for c in "дfжωzb"]), min_size=1, max_size=6), st.randoms())
+def test_words_that_look_the_same_are_equal(classes, rng):
+    a, b = ("".join(rng.choice(c) for c in classes) for _ in range(2))
+    assert canon.canonical(a) == canon.canonical(b)
 
 
 def test_look_alike_pairs(spark):
