@@ -178,6 +178,34 @@ def test_overlaps_equal_brute_force(spark):
     assert {tuple(r) for r in overlap.overlaps(frame).collect()} == want and len(want) > 100
 
 
+def test_winnowing_loses_no_near_same_pair():
+    """Any two sets of a similarity of 0.8 or more share a fingerprint, whichever words differ and however common each is."""
+    import pandas as pd
+
+    rng, rows = random.Random(11), []
+    for _ in range(4000):
+        size = rng.randint(4, 60)
+        pool = rng.sample(range(1, 1 << 40), size + size // 4)
+        both, extra = pool[:size], pool[size:][: rng.randint(1, size // 4)]
+        own = rng.randint(0, len(extra))
+        for words_ in ([*both, *extra[:own]], [*both, *extra[own:]]):
+            rng.shuffle(words_)
+            rows.append(np.array(words_))
+    counts = np.array([rng.randint(1, 3) for _ in range(overlap.COUNT_BUCKETS)])
+    frame = pd.DataFrame({"cls": [b"x"] * len(rows), "in_train": True, "all_train": True, "hashes": rows})
+    prints = next(overlap._fingerprints(iter([frame]), counts))["prints"]
+    assert all(set(prints[k]) & set(prints[k + 1]) for k in range(0, len(rows), 2))
+
+
+def test_report_counts_by_class(spark):
+    rows = [(1, "train", "s", "i1", "a/x.jpg", "one two three four five six"), (2, "test", "s", "I1 ", None, "other"), (3, "test", "s", None, "b/X.JPG", "else"), (4, "test", "s", None, None, "six one two three four five"), (5, "test", "s", None, None, "one two three four five six seven"), (6, "validation", None, None, None, None)]
+    frame = spark.createDataFrame(rows, "line_no long, split string, source string, sample_id string, image_path string, text string")
+    got = {r.split: r for r in overlap.overlap_report(frame).collect()}
+    t = got["test"]
+    assert (t.records, t.by_id, t.by_image, t.by_text, t.overlapping) == (4, 1, 1, 2, 4) and abs(t.mean_coverage - (1 + 6 / 7) / 4) < 1e-9
+    assert got["validation"].overlapping == 0 and {tuple(r) for r in overlap.overlaps(frame).collect()} == {(1, 2), (1, 3), (1, 4), (1, 5)}
+
+
 def test_file_names(spark):
     paths = ["a/b/m_1-2.jpg", "a\\b\\M_1-2.JPG", "/x/m%5F1%2D2.jpg?v=3", "./a/../a/m_1-2.jpg", " ", None, "m_1-2.png"]
     got = [r.f for r in spark.createDataFrame([(p,) for p in paths], "p string").select(overlap.file_name("p").alias("f")).collect()]
