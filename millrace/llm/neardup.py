@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.components import components
-from millrace.operators.pairs import keyed_pairs
+from millrace.operators.pairs import keyed_pairs, member_pairs
 from millrace.session import cut, spread
 
 from .words import NEAR_SAME, may_be_near, near_same, set_key, word_set
@@ -33,7 +33,7 @@ def bands_for(rows: int, recall: float, similarity: float = NEAR_SAME) -> int:
 
 
 def signatures(batches: Iterator[pd.DataFrame], rows: int, bands: int) -> Iterator[pd.DataFrame]:
-    """Band hashes, set size and a 64-bit word bitmap of each (field, cls, hashes). A band's hash holds its number and field."""
+    """Band hashes, set size and a 64-bit word bitmap of each (field, cid, hashes). A band's hash holds its number and field."""
     rng = np.random.default_rng(20250106)
     mult = rng.integers(1, 2**63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, rows * bands, dtype=np.uint64)
@@ -57,7 +57,7 @@ def signatures(batches: Iterator[pd.DataFrame], rows: int, bands: int) -> Iterat
                     acc = (acc ^ np.minimum.reduceat(hashed, starts)) * mix[row]
                     acc ^= acc >> np.uint64(29)
                 bands_out[:, band] = acc
-            out = part[["cls"]].copy()
+            out = part[["cid"]].copy()
             out["n"] = sizes
             out["bitmap"] = np.bitwise_xor.reduceat(one << ((flat >> np.uint64(3)) & np.uint64(63)), starts).view(np.int64)
             out["bands"] = list(bands_out.view(np.int64))
@@ -73,15 +73,16 @@ def class_members(texts: DataFrame) -> DataFrame:
 def near_classes(members: DataFrame, rows: int = ROWS_PER_BAND, recall: float = TARGET_RECALL) -> DataFrame:
     """(field, cls_a, cls_b) of near-same classes of different word sets, each pair once."""
     bands = bands_for(rows, recall)
-    classes = cut(members.groupBy("field", "cls").agg(F.first("words").alias("words")))
-    signed = spread(classes.select("field", "cls", F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))).mapInPandas(
-        lambda batches: signatures(batches, rows, bands), "cls binary, n int, bitmap long, bands array<long>"
+    # classes are numbered when written, so what is shuffled with each band is short
+    classes = cut(members.groupBy("field", "cls").agg(F.first("words").alias("words")).withColumn("cid", F.monotonically_increasing_id()))
+    signed = spread(classes.select("field", "cid", F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))).mapInPandas(
+        lambda batches: signatures(batches, rows, bands), "cid long, n int, bitmap long, bands array<long>"
     )
-    banded = cut(signed).select("cls", "n", "bitmap", F.explode("bands").alias("band"))
-    pairs = keyed_pairs(banded, ["band"], "cls", ["cls", "n", "bitmap"]).where(may_be_near("a.n", "b.n", ("a.bitmap", "b.bitmap")))
-    pairs = pairs.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    joined = pairs.join(classes.withColumnsRenamed({"cls": "cls_a", "words": "words_a"}), "cls_a").join(
-        classes.select(F.col("cls").alias("cls_b"), F.col("words").alias("words_b")), "cls_b"
+    banded = cut(signed).select("cid", "n", "bitmap", F.explode("bands").alias("band"))
+    pairs = keyed_pairs(banded, ["band"], "cid", ["cid", "n", "bitmap"]).where(may_be_near("a.n", "b.n", ("a.bitmap", "b.bitmap")))
+    pairs = pairs.select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")).distinct()
+    joined = pairs.join(classes.select(F.col("cid").alias("cid_a"), "field", F.col("cls").alias("cls_a"), F.col("words").alias("words_a")), "cid_a").join(
+        classes.select(F.col("cid").alias("cid_b"), F.col("cls").alias("cls_b"), F.col("words").alias("words_b")), "cid_b"
     )
     return joined.where(near_same("words_a", "words_b")).select("field", "cls_a", "cls_b")
 
@@ -93,14 +94,10 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     """
     found = cut(class_members(texts).select("field", "id", "cls", "words"))
     near = cut(near_classes(found))
-    members = found.select("field", "id", "cls").distinct()
+    members = cut(found.select("field", "id", "cls").distinct())
     within = keyed_pairs(members, ["field", "cls"], "id", ["id"]).select("field", F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    across = (
-        near.join(members.withColumnsRenamed({"cls": "cls_a", "id": "x"}), ["field", "cls_a"])
-        .join(members.withColumnsRenamed({"cls": "cls_b", "id": "y"}), ["field", "cls_b"])
-        .select("field", "x", "y")
-        .where("x <> y")
-    )
+    plain = members.select("cls", "id")  # a class is of one field
+    across = member_pairs(near, plain, plain).select("field", "x", "y").where("x <> y")
     both = within.unionByName(across)
     return both.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

@@ -202,7 +202,7 @@ def test_report_counts_by_class(spark):
     frame = spark.createDataFrame(rows, "line_no long, split string, source string, sample_id string, image_path string, text string")
     got = {r.split: r for r in overlap.overlap_report(frame).collect()}
     t = got["test"]
-    assert (t.records, t.by_id, t.by_image, t.by_text, t.overlapping) == (4, 1, 1, 2, 4) and abs(t.mean_coverage - (1 + 6 / 7) / 4) < 1e-9
+    assert (t.records, t.by_id, t.by_image, t.by_text, t.overlapping) == (4, 1, 1, 2, 4) and abs(t.mean_coverage - (1 + 5 / 7) / 4) < 1e-9  # 'six' is not in its place
     assert got["validation"].overlapping == 0 and {tuple(r) for r in overlap.overlaps(frame).collect()} == {(1, 2), (1, 3), (1, 4), (1, 5)}
 
 
