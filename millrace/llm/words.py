@@ -16,8 +16,9 @@ PY_WORD = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+")
 
 
 def word_list(text: Column) -> Column:
-    """Lower-cased words in text order, repeats kept; null for a null text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(JAVA_WORD), F.lit(0))
+    """Lower-cased words in text order, repeats kept; null for a null text. Texts of ASCII alone take a plainer pattern."""
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(F.octet_length(text) == F.char_length(text), plain).otherwise(F.regexp_extract_all(F.lower(text), F.lit(JAVA_WORD), F.lit(0)))
 
 
 def word_set(text: Column) -> Column:
