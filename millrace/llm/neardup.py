@@ -22,7 +22,7 @@ from millrace.session import cut, spread
 
 from .words import NEAR_SAME, may_be_near, near_same, set_key, word_set
 
-ROWS_PER_BAND = 6
+ROWS_PER_BAND = 5
 TARGET_RECALL = 0.9999
 FIELDS = ("experience", "mechanism", "exclusion_boundary")
 
