@@ -52,7 +52,7 @@ def records(samples: DataFrame) -> DataFrame:
     split = F.lower(F.trim("split"))
     rows = samples.select("line_no", split.alias("split"), "source", "sample_id", "image_path", "text").where("line_no is not null and split in ('train', 'validation', 'test')")
     rows = spread(rows).withColumn("form", canonical_form(F.col("text"))).withColumn("words", word_list(F.col("form")))
-    sets = F.array_sort(F.array_distinct("words"))
+    sets = F.sort_array(F.array_distinct("words"))
     return rows.select(
         "line_no", (F.col("split") == "train").alias("train"), "split", clean_source("source").alias("source"),
         sample_name(F.col("sample_id")).alias("id_key"), file_name("image_path").alias("file_key"), "words",

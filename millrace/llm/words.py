@@ -23,7 +23,7 @@ def word_list(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Sorted distinct words; an empty array for a text without words."""
-    return F.array_sort(F.array_distinct(word_list(text)))
+    return F.sort_array(F.array_distinct(word_list(text)))
 
 
 def set_key(words: Column) -> Column:
