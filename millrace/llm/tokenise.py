@@ -1,11 +1,12 @@
 """Problem 8: encoding of a whole corpus with a public tokenizer, by monoid tree reduction.
 
-A long text is halved recursively. A node of the tree is a monoid element: the ids of its middle, which nothing to the
-left or right can change, and the text of its two margins, which a neighbour still can. Joining two nodes re-encodes the
-window made of the left one's tail and the right one's head; a node without a stable place is all margin, so the window
-grows until there is one. A place is stable where the tokenizer's pre-token pattern ends a match whatever follows and
-starts afresh whatever came before: between a letter, digit or closing mark and a plain blank, and between a letter or
-digit and plain punctuation. The result equals encoding the text in one go.
+A text is halved recursively. A node of the tree is a monoid element: the windows of its middle, whose ids nothing to the
+left or right can change, and the text of its two margins, which a neighbour still can. Joining two nodes makes one more
+window of the left one's tail and the right one's head; a node without a stable place is all margin, so the window grows
+until there is one. A place is stable where the tokenizer's pre-token pattern ends a match whatever follows and starts
+afresh whatever came before: between a letter, digit or closing mark and a plain blank, and between a letter or digit and
+plain punctuation. The windows of a batch of texts are encoded together once their trees are done, each window once, and
+a text's ids are those of its windows. They equal those of the text encoded in one go.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tokenizers import Tokenizer
 from millrace.session import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-LEAF_CHARS = 4096
+LEAF_CHARS = 2048
 STABLE = regex.compile(r"(?<=[\p{L}\p{N}.,;:!?)])(?= )|(?<=[\p{L}\p{N}])(?=[.,;:!?，。！？；：])")
 
 
@@ -40,53 +41,54 @@ def load(path: str) -> Tokenizer:
 
 @dataclass
 class Node:
-    """``head`` and ``tail`` are open text; ``ids`` is None while the node has no stable place and is all ``head``."""
+    """``head`` and ``tail`` are open text; ``windows`` is None while the node has no stable place and is all ``head``."""
 
     head: str
-    ids: list[int] | None = None
+    windows: list[str] | None = None
     tail: str = ""
 
 
-def _encode(tokenizer: Tokenizer, text: str) -> list[int]:
-    return tokenizer.encode(text, add_special_tokens=False).ids if text else []
-
-
-def leaf(tokenizer: Tokenizer, text: str) -> Node:
+def leaf(text: str) -> Node:
     first = STABLE.search(text)
     if first is None:
         return Node(text)
-    last = first.start()
-    for found in STABLE.finditer(text, max(first.start(), len(text) - 512)):
-        last = found.start()
-    return Node(text[: first.start()], _encode(tokenizer, text[first.start() : last]), text[last:])
+    last, reach = first.start(), 32
+    while last == first.start() and reach < 2 * len(text):  # the last stable place, looked for from the end
+        for found in STABLE.finditer(text, max(first.start(), len(text) - reach)):
+            last = found.start()
+        reach *= 4
+    return Node(text[: first.start()], [text[first.start() : last]], text[last:])
 
 
-def join(tokenizer: Tokenizer, a: Node, b: Node) -> Node:
+def join(a: Node, b: Node) -> Node:
     """The monoid's product; it is associative."""
-    if a.ids is None and b.ids is None:
+    if a.windows is None and b.windows is None:
         text = a.head + b.head
         # a stable place may lie on the seam itself
-        return leaf(tokenizer, text) if STABLE.search(text, max(0, len(a.head) - 1), min(len(text), len(a.head) + 1)) else Node(text)
-    if a.ids is None:
-        return Node(a.head + b.head, b.ids, b.tail)
-    if b.ids is None:
-        return Node(a.head, a.ids, a.tail + b.head)
-    return Node(a.head, a.ids + _encode(tokenizer, a.tail + b.head) + b.ids, b.tail)
+        return leaf(text) if STABLE.search(text, max(0, len(a.head) - 1), min(len(text), len(a.head) + 1)) else Node(text)
+    if a.windows is None:
+        return Node(a.head + b.head, b.windows, b.tail)
+    if b.windows is None:
+        return Node(a.head, a.windows, a.tail + b.head)
+    return Node(a.head, [*a.windows, a.tail + b.head, *b.windows], b.tail)
 
 
-def tree(tokenizer: Tokenizer, text: str, leaf_chars: int = LEAF_CHARS) -> Node:
+def tree(text: str, leaf_chars: int = LEAF_CHARS) -> Node:
     if len(text) <= leaf_chars:
-        return leaf(tokenizer, text)
+        return leaf(text)
     middle = len(text) // 2
-    return join(tokenizer, tree(tokenizer, text[:middle], leaf_chars), tree(tokenizer, text[middle:], leaf_chars))
+    return join(tree(text[:middle], leaf_chars), tree(text[middle:], leaf_chars))
+
+
+def windows(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
+    """The windows of a text in order; together they are the text."""
+    root = tree(text, leaf_chars)
+    return [w for w in (root.head, *(root.windows or ()), root.tail) if w]
 
 
 def encode(tokenizer: Tokenizer, text: str, leaf_chars: int = LEAF_CHARS) -> list[int]:
-    """Ids of ``text``; an empty text has none. A text of one leaf has nothing to join and is encoded at once."""
-    if len(text) <= leaf_chars:
-        return _encode(tokenizer, text)
-    root = tree(tokenizer, text, leaf_chars)
-    return _encode(tokenizer, root.head) if root.ids is None else _encode(tokenizer, root.head) + root.ids + _encode(tokenizer, root.tail)
+    """Ids of ``text``; an empty text has none."""
+    return [i for done in tokenizer.encode_batch_fast(windows(text, leaf_chars), add_special_tokens=False) for i in done.ids]
 
 
 def decode(tokenizer: Tokenizer, ids: list[int], leaf_ids: int = 4096) -> bytes:
@@ -106,30 +108,37 @@ def _byte_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+def _encoded(path: str, leaf_chars: int, texts: list) -> Iterator[tuple[int, list]]:
+    """(number of windows, their encodings) of each text of a batch, in order."""
+    tokenizer = load(path)
+    for begin in range(0, len(texts), 256):
+        cut_up = [windows(t, leaf_chars) if isinstance(t, str) and t else [] for t in texts[begin : begin + 256]]
+        done = iter(tokenizer.encode_batch_fast([w for ws in cut_up for w in ws], add_special_tokens=False))
+        for ws in cut_up:
+            yield len(ws), [next(done) for _ in ws]
+
+
 def encoder(path: str = TOKENIZER, leaf_chars: int = LEAF_CHARS):  # noqa: ANN201
     """A pandas UDF text -> ids; null and empty texts have the empty list."""
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = load(path)
         for batch in texts:
-            out: list[np.ndarray | None] = [None] * len(batch)
-            short: list[int] = []
-            values = batch.to_list()
-            for k, text in enumerate(values):
-                if not isinstance(text, str) or not text:
-                    out[k] = np.empty(0, np.int32)
-                elif len(text) <= leaf_chars:
-                    short.append(k)
-                else:
-                    out[k] = np.asarray(encode(tokenizer, text, leaf_chars), np.int32)
-            for begin in range(0, len(short), 512):
-                some = short[begin : begin + 512]
-                for k, done in zip(some, tokenizer.encode_batch_fast([values[k] for k in some], add_special_tokens=False), strict=True):
-                    out[k] = np.asarray(done.ids, np.int32)
-            yield pd.Series(out, index=batch.index)
-
-    return ids
+            out = [np.fromiter((i for e in parts for i in e.ids), np.int32) for _, parts in _encoded(path, leaf_chars, batch.to_list())]
+            yield pd.Series(out, index=batch.index, dtype=object)
+
+    return ids.asNondeterministic()  # else a filter on the result would run it twice
+
+
+def counter(path: str = TOKENIZER, leaf_chars: int = LEAF_CHARS):  # noqa: ANN201
+    """A pandas UDF text -> number of ids, without making them into lists."""
+
+    @F.pandas_udf(IntegerType())
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([sum(map(len, parts)) for _, parts in _encoded(path, leaf_chars, batch.to_list())], index=batch.index, dtype=np.int32)
+
+    return count.asNondeterministic()
 
 
 def encode_documents(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -140,4 +149,4 @@ def encode_documents(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens); a null or empty text has 0 tokens."""
     rows = spread(documents.select("doc_id", "source", "text"))
-    return rows.select("doc_id", "source", F.size(encoder(path)("text")).alias("n_tokens"))
+    return rows.select("doc_id", "source", counter(path)("text").alias("n_tokens"))

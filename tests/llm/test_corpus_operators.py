@@ -301,9 +301,18 @@ def test_tree_encoding_is_exact(text, leaf):
 
 
 def test_join_is_associative():
-    tokenizer = tokenise.load(tokenise.TOKENIZER)
-    a, b, c = (tokenise.leaf(tokenizer, t) for t in ("it's one, tw", "o three f", "our. five"))
-    assert tokenise.join(tokenizer, tokenise.join(tokenizer, a, b), c) == tokenise.join(tokenizer, a, tokenise.join(tokenizer, b, c))
+    a, b, c = (tokenise.leaf(t) for t in ("it's one, tw", "o three f", "our. five"))
+    assert tokenise.join(tokenise.join(a, b), c) == tokenise.join(a, tokenise.join(b, c))
+
+
+def test_whole_corpus_is_encoded_exactly(spark):
+    """Every document of sf0.01 by the tree, against one call a text; counts and null and empty texts too."""
+    rows = table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r.doc_id: r.ids for r in tokenise.encode_documents(rows).collect()}
+    tokenizer, texts = tokenise.load(tokenise.TOKENIZER), {r.doc_id: r.text for r in rows.collect()}
+    assert all(got[k] == (tokenizer.encode(t, add_special_tokens=False).ids if t else []) for k, t in texts.items())
+    assert any(len(tokenise.windows(t)) > 3 for t in texts.values() if t)
+    assert {r.doc_id: r.n_tokens for r in tokenise.token_counts(rows).collect()} == {k: len(v) for k, v in got.items()}
 
 
 # p9
