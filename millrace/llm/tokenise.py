@@ -11,13 +11,14 @@ a text's ids are those of its windows. They equal those of the text encoded in o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -27,7 +28,7 @@ from millrace.session import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 LEAF_CHARS = 2048
-STABLE = regex.compile(r"(?<=[\p{L}\p{N}.,;:!?)])(?= )|(?<=[\p{L}\p{N}])(?=[.,;:!?，。！？；：])")
+STABLE = re.compile(r"(?<=[^\W_])(?=[ .,;:!?，。！？；：])|(?<=[.,;:!?)])(?= )")
 
 
 @lru_cache(maxsize=4)
@@ -108,14 +109,14 @@ def _byte_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
-def _encoded(path: str, leaf_chars: int, texts: list) -> Iterator[tuple[int, list]]:
-    """(number of windows, their encodings) of each text of a batch, in order."""
+def _encoded(path: str, leaf_chars: int, texts: list) -> Iterator[list]:
+    """The encodings of each text's windows, in order."""
     tokenizer = load(path)
     for begin in range(0, len(texts), 256):
         cut_up = [windows(t, leaf_chars) if isinstance(t, str) and t else [] for t in texts[begin : begin + 256]]
         done = iter(tokenizer.encode_batch_fast([w for ws in cut_up for w in ws], add_special_tokens=False))
         for ws in cut_up:
-            yield len(ws), [next(done) for _ in ws]
+            yield list(islice(done, len(ws)))
 
 
 def encoder(path: str = TOKENIZER, leaf_chars: int = LEAF_CHARS):  # noqa: ANN201
@@ -124,7 +125,7 @@ def encoder(path: str = TOKENIZER, leaf_chars: int = LEAF_CHARS):  # noqa: ANN20
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            out = [np.fromiter((i for e in parts for i in e.ids), np.int32) for _, parts in _encoded(path, leaf_chars, batch.to_list())]
+            out = [list(chain.from_iterable([e.ids for e in parts])) for parts in _encoded(path, leaf_chars, batch.to_list())]
             yield pd.Series(out, index=batch.index, dtype=object)
 
     return ids.asNondeterministic()  # else a filter on the result would run it twice
@@ -136,7 +137,7 @@ def counter(path: str = TOKENIZER, leaf_chars: int = LEAF_CHARS):  # noqa: ANN20
     @F.pandas_udf(IntegerType())
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([sum(map(len, parts)) for _, parts in _encoded(path, leaf_chars, batch.to_list())], index=batch.index, dtype=np.int32)
+            yield pd.Series([sum(map(len, parts)) for parts in _encoded(path, leaf_chars, batch.to_list())], index=batch.index, dtype=np.int32)
 
     return count.asNondeterministic()
 
