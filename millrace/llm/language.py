@@ -88,20 +88,31 @@ class Model:
     grams: np.ndarray
     weights: np.ndarray
 
+    def _weights(self, flat: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.grams, flat), len(self.grams) - 1)
+        return self.weights[at] * (self.grams[at] == flat)[:, None]
+
     def words(self, words: list[str]) -> np.ndarray:
         """(words, languages): each word's additive share of the kernel score, as one batched product."""
         ids = [_grams(w) for w in words]
         sizes = np.array([len(i) for i in ids])
         flat = np.fromiter((g for i in ids for g in i), np.int64, sizes.sum())
-        at = np.minimum(np.searchsorted(self.grams, flat), len(self.grams) - 1)
-        rows = self.weights[at] * (self.grams[at] == flat)[:, None]
-        return np.add.reduceat(rows, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        return np.add.reduceat(self._weights(flat), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
 
     def segment(self, words: list[str]) -> np.ndarray:
         """Normalised kernel score of a segment for each language."""
-        grams = np.array(sorted({g for w in words for g in _grams(w)}))
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        return (self.weights[at] * (self.grams[at] == grams)[:, None]).sum(axis=0) / np.sqrt(len(grams))
+        return self.segments([_grams(w) for w in words], np.array([len(words)]))[0]
+
+    def segments(self, grams: list[np.ndarray | tuple[int, ...]], sizes: np.ndarray) -> np.ndarray:
+        """(segments, languages): normalised kernel scores; ``grams`` are those of the words of all segments, ``sizes``
+        the words of each."""
+        counts = np.fromiter(map(len, grams), np.int64, len(grams))
+        owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), counts)
+        keys = np.sort(owner << 32 | np.concatenate(grams).astype(np.int64))
+        keys = keys[np.append(True, keys[1:] != keys[:-1])]  # presence
+        starts = np.searchsorted(keys >> 32, np.arange(len(sizes)))
+        held = np.diff(np.append(starts, len(keys)))
+        return np.add.reduceat(self._weights(keys & 0xFFFFFFFF), starts, axis=0) / np.sqrt(held)[:, None]
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
@@ -131,43 +142,58 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS_PER_LANG
     return Model(grams, (marks.T @ dual).astype(np.float32))
 
 
-def viterbi(scores: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-    """Best language per word; ``scores`` (words, languages), ``fresh`` where a sentence begins."""
-    best, back = scores[0].copy(), np.empty((len(scores), scores.shape[1]), np.int64)
-    own = np.arange(scores.shape[1])
-    for t in range(1, len(scores)):
-        top = int(best.argmax())
-        moved = best[top] - (CHANGE_AT_SENTENCE if fresh[t] else CHANGE_INSIDE)
-        stay = best >= moved
-        back[t] = np.where(stay, own, top)
-        best = np.where(stay, best, moved) + scores[t]
+def viterbi(scores: np.ndarray, fresh: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Best language of each word of a batch of texts; ``scores`` (words, languages) and ``fresh`` (where a sentence
+    begins) of all texts one after the other, ``sizes`` the words of each."""
+    order = np.argsort(-sizes, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[order]
+    sizes, own = sizes[order], np.arange(scores.shape[1])
+    back = np.zeros(scores.shape, np.int8)
+    best = scores[starts].copy()
+    for t in range(1, int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -t, side="left"))  # texts that have a word t
+        at, now = starts[:n] + t, best[:n]
+        top = now.argmax(axis=1)
+        moved = now[np.arange(n), top] - np.where(fresh[at], CHANGE_AT_SENTENCE, CHANGE_INSIDE)
+        stay = now >= moved[:, None]
+        back[at] = np.where(stay, own, top[:, None])
+        best[:n] = np.where(stay, now, moved[:, None]) + scores[at]
     path = np.empty(len(scores), np.int64)
-    path[-1] = best.argmax()
-    for t in range(len(scores) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    state = best.argmax(axis=1)
+    for t in range(int(sizes[0]) - 1, -1, -1):
+        n = int(np.searchsorted(-sizes, -t, side="left"))
+        at = starts[:n] + t
+        path[at] = state[:n]
+        state[:n] = back[at, state[:n]]
     return path
 
 
-def segments(model: Model, words: list[str], fresh: np.ndarray, scores: np.ndarray) -> list[tuple[str, float, int, bool, str]]:
-    """(language, confidence, weight, whole, text) of each segment, in order."""
-    path = viterbi(scores - scores.mean(axis=1, keepdims=True), fresh)
-    edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(words)]
-    out = []
-    for lo, hi in zip(edges, edges[1:]):
-        part = words[lo:hi]
-        fit_to = model.segment(part)
-        odds = np.exp(4 * (fit_to - fit_to.max()))
-        han = sum("⺀" <= w[0] for w in part)
-        latin = len(part) - han
-        code = LANGUAGES[path[lo]]
-        whole = han >= LEAST_HAN if code == "zh" else latin >= LEAST_WORDS
-        out.append((code, float(odds[path[lo]] / odds.sum()), latin + han // 2, bool(whole and path[lo] == fit_to.argmax()), "".join(part) if code == "zh" else " ".join(part)))
+def segments(model: Model, texts: list[list[tuple[str, bool]]], scores: np.ndarray) -> list[list[tuple[str, float, int, bool]]]:
+    """(language, confidence, weight, whole) of each segment of each text, in order; ``scores`` of all words."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out: list[list[tuple[str, float, int, bool]]] = [[] for _ in texts]
+    if not sizes.sum():
+        return out
+    used = np.flatnonzero(sizes)
+    words = [w for t in texts for w, _ in t]
+    path = viterbi(scores - scores.mean(axis=1, keepdims=True), np.fromiter((f for t in texts for _, f in t), bool, len(words)), sizes[used])
+    owner = np.repeat(used, sizes[used])
+    begins = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])))
+    count = np.diff(np.append(begins, len(words)))
+    fit_to = model.segments([_grams(w) for w in words], count)
+    odds = np.exp(4 * (fit_to - fit_to.max(axis=1, keepdims=True)))
+    lang, rows = path[begins], np.arange(len(begins))
+    han = np.add.reduceat(np.fromiter(("\u2e80" <= w[0] for w in words), np.int64, len(words)), begins)
+    whole = np.where(lang == LANGUAGES.index("zh"), han >= LEAST_HAN, count - han >= LEAST_WORDS) & (lang == fit_to.argmax(axis=1))
+    fields = zip(owner[begins].tolist(), lang.tolist(), (odds[rows, lang] / odds.sum(axis=1)).tolist(), (count - han + han // 2).tolist(), whole.tolist(), strict=True)
+    for text, code, confidence, weight, full in fields:
+        out[text].append((LANGUAGES[code], confidence, weight, full))
     return out
 
 
 def sample_labelled(rows: DataFrame, key: str, text: str, label: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """At most about ``per_language`` labelled texts a language, by hash of the key: bounded, and without any sort."""
-    named = rows.select(F.col(key).alias("k"), F.substring(text, 1, 2000).alias("t"), label.alias("code")).where("code is not null and t is not null")
+    named = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), label.alias("code")).where("code is not null and t is not null")
     counts = {r["code"]: r["count"] for r in named.groupBy("code").count().collect()}
     rate = F.lit(0.0)
     for code, n in counts.items():
@@ -181,35 +207,25 @@ def train(rows: DataFrame, key: str, text: str, label: Column) -> Model:
     return fit(*sample_labelled(rows, key, text, label))
 
 
-SEGMENTS = "array<struct<lang: string, confidence: double, weight: int, whole: boolean, text: string>>"
+SEGMENTS = "array<struct<lang: string, confidence: double, weight: int, whole: boolean>>"
+FIELDS = ("lang", "confidence", "weight", "whole")
 
 
-def segmenter(model: Model, key: str = "line_no", key_type: str = "long"):  # noqa: ANN201
-    """A mapInPandas function (key, text) -> (key, segments)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for begin in range(0, len(pdf), 2000):
-                part = pdf.iloc[begin : begin + 2000]
-                cut_up = [tokens(t) if isinstance(t, str) else [] for t in part["text"]]
-                new = list({w for words in cut_up for w, _ in words} - cache.keys())
-                if len(cache) > 300_000:
-                    cache, new = {}, list({w for words in cut_up for w, _ in words})
-                if new:
-                    cache |= dict(zip(new, model.words(new), strict=True))
-                found = []
-                for words in cut_up:
-                    if not words:
-                        found.append([])
-                        continue
-                    plain = [w for w, _ in words]
-                    scores = np.array([cache[w] for w in plain])
-                    names = ("lang", "confidence", "weight", "whole", "text")
-                    found.append([dict(zip(names, s, strict=True)) for s in segments(model, plain, np.array([f for _, f in words]), scores)])
-                yield pd.DataFrame({key: part[key], "segments": found})
-
-    return run
+def segmenter(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(text, ...) -> (..., segments), for whole batches at once."""
+    cache: dict[str, np.ndarray] = {}
+    for pdf in batches:
+        for begin in range(0, len(pdf), 2000):
+            part = pdf.iloc[begin : begin + 2000]
+            texts = [tokens(t) if isinstance(t, str) else [] for t in part["text"]]
+            if len(cache) > 300_000:
+                cache = {}
+            new = list({w for words in texts for w, _ in words} - cache.keys())
+            if new:
+                cache.update(zip(new, model.words(new), strict=True))
+            flat = [cache[w] for words in texts for w, _ in words]
+            found = segments(model, texts, np.array(flat) if flat else np.empty((0, len(LANGUAGES))))
+            yield part.drop(columns="text").assign(segments=[[dict(zip(FIELDS, s, strict=True)) for s in some] for some in found])
 
 
 def classified(samples: DataFrame) -> DataFrame:
@@ -222,16 +238,7 @@ def classified(samples: DataFrame) -> DataFrame:
     # a label that names a language we do not know is not a placeholder but names another one
     named = F.when(F.col("label").isNull() & F.regexp_like(F.lower(F.trim("written")), F.lit(r"^(it|nl|pl|sv|da|no|fi|tr|ar|ja|ko|hi|uk|cs|el|he|vi|th|id)([-_].*)?$")), "other").otherwise(F.col("label"))
     rows = rows.where(F.regexp_like("text", F.lit(r"[\p{L}\p{N}]"))).select("line_no", "text", named.alias("label"))
-    fields = f"line_no long, label string, segments {SEGMENTS}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        work = segmenter(model.value)
-        for pdf in batches:
-            done = list(work(iter([pdf])))
-            if done:
-                yield pdf[["line_no", "label"]].assign(segments=pd.concat(done)["segments"])
-
-    return spread(rows).mapInPandas(run, fields)
+    return spread(rows).mapInPandas(lambda batches: segmenter(model.value, batches), f"line_no long, label string, segments {SEGMENTS}")
 
 
 def by_language(found: DataFrame) -> DataFrame:

@@ -231,9 +231,21 @@ def test_language_held_out(spark):
     assert right / (len(texts) - half) > 0.85  # labels are wrong now and then
     mixed = "my printer is broken again, thank you for the service. Wer hat eigentlich den Drucker vor dem Kaffee repariert?"
     cut = language.tokens(mixed)
-    plain = [t for t, _ in cut]
-    found = language.segments(model, plain, np.array([f for _, f in cut]), model.words(plain))
-    assert [s[0] for s in found if s[3]] == ["en", "de"]
+    found = language.segments(model, [cut, [], cut[:3]], np.concatenate([model.words([t for t, _ in c]) for c in (cut, cut[:3])]))
+    assert [s[0] for s in found[0] if s[3]] == ["en", "de"] and found[1] == [] and len(found[2]) == 1
+
+
+def test_viterbi_equals_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([4, 1, 6, 3])
+    scores, fresh = rng.normal(size=(14, 3)), rng.random(14) < 0.3
+    path, at = language.viterbi(scores, fresh, sizes), 0
+    for n in sizes:
+        worth = lambda p: sum(scores[at + k, q] for k, q in enumerate(p)) - sum((language.CHANGE_AT_SENTENCE if fresh[at + k] else language.CHANGE_INSIDE) * (p[k] != p[k - 1]) for k in range(1, n))  # noqa: B023, E731
+        assert np.isclose(worth(path[at : at + n]), max(map(worth, itertools.product(range(3), repeat=int(n)))))
+        at += n
 
 
 def test_label_spellings(spark):
