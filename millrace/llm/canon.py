@@ -135,7 +135,7 @@ LONGEST = max(map(len, MAPPING))
 APART = {c: (d[0], d[1:]) for c in set(MAPPING.values()) if len(c) == 1 and len(d := unicodedata.normalize("NFD", c)) > 1 and unicodedata.category(d[0])[0] == "L"}
 
 #: The longest stretch around characters beyond ASCII: a run of them with the ASCII letters and digits they touch.
-UNIT = re.compile(r"(?:[A-Za-z0-9]+|[<=>])?[^\x00-\x7f]+(?:(?:[A-Za-z0-9]+|[<=>])[^\x00-\x7f]+)*[A-Za-z0-9]*")
+UNIT = re.compile(r"(?:(?<![A-Za-z0-9])[A-Za-z0-9]++|[<=>])?[^\x00-\x7f]++(?:(?:[A-Za-z0-9]++|[<=>])[^\x00-\x7f]++)*[A-Za-z0-9]*+")
 CLUSTER = regex.compile(r"\X")
 JOINED = regex.compile(r"\p{Extended_Pictographic}[\p{EMod}\ufe0f]*(?:\u200d\p{Extended_Pictographic}[\p{EMod}\ufe0f]*)+")
 CONTROLS = {ord(c): " " for c in BLANK_CONTROLS}

@@ -60,13 +60,13 @@ def label_language(label: Column) -> Column:
 
 
 @lru_cache(maxsize=200_000)
-def _grams(word: str) -> tuple[int, ...]:
+def _grams(word: str) -> np.ndarray:
     first = ord(word[0])
     system = "H" if first >= 0x2E80 else "C" if 0x400 <= first < 0x530 else "L" if first < 0x250 else "O"
     marked = f"<{word.lower()}>"
     grams = {f"\0{system}"} | {marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)}
     grams -= {"<", ">"}
-    return tuple(sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in grams))
+    return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in grams], np.int64)
 
 
 def tokens(text: str) -> list[tuple[str, bool]]:
@@ -95,20 +95,19 @@ class Model:
     def words(self, words: list[str]) -> np.ndarray:
         """(words, languages): each word's additive share of the kernel score, as one batched product."""
         ids = [_grams(w) for w in words]
-        sizes = np.array([len(i) for i in ids])
-        flat = np.fromiter((g for i in ids for g in i), np.int64, sizes.sum())
-        return np.add.reduceat(self._weights(flat), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.add.reduceat(self._weights(np.concatenate(ids)), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
 
     def segment(self, words: list[str]) -> np.ndarray:
         """Normalised kernel score of a segment for each language."""
         return self.segments([_grams(w) for w in words], np.array([len(words)]))[0]
 
-    def segments(self, grams: list[np.ndarray | tuple[int, ...]], sizes: np.ndarray) -> np.ndarray:
+    def segments(self, grams: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         """(segments, languages): normalised kernel scores; ``grams`` are those of the words of all segments, ``sizes``
         the words of each."""
         counts = np.fromiter(map(len, grams), np.int64, len(grams))
         owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), counts)
-        keys = np.sort(owner << 32 | np.concatenate(grams).astype(np.int64))
+        keys = np.sort(owner << 32 | np.concatenate(grams))
         keys = keys[np.append(True, keys[1:] != keys[:-1])]  # presence
         starts = np.searchsorted(keys >> 32, np.arange(len(sizes)))
         held = np.diff(np.append(starts, len(keys)))
@@ -117,7 +116,7 @@ class Model:
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
     """Nyström kernel ridge regression, one language against the rest."""
-    bags = [np.array(sorted({g for w, _ in tokens(t) for g in _grams(w)}), np.int64) for t in texts]
+    bags = [np.unique(np.concatenate([np.empty(0, np.int64), *(_grams(w) for w in {w for w, _ in tokens(t)})])) for t in texts]
     used = [k for k, b in enumerate(bags) if len(b)]
     chosen: list[int] = []
     for code in LANGUAGES:
