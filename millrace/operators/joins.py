@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut, small_side
+
 
 def _must(value: Column, bad: Column, message: str) -> Column:
     return F.when(bad, F.raise_error(F.lit(message)).cast("string")).otherwise(value)
@@ -28,6 +30,24 @@ def lookup(rows: DataFrame, right: DataFrame, key: str, message: str = "missing
     return marked.withColumn(key, _must(F.col(key).cast("string"), F.col("_found").isNull(), message).cast(rows.schema[key].dataType)).drop("_found")
 
 
+def salted_left_join(rows: DataFrame, right: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """Left join with ``right`` (unique by key), whose hot and null keys never meet in one task.
+
+    Rows with a null key are not shuffled. Keys with more than ``most`` rows are found by a count and looked up in a
+    broadcast of just their rows of ``right`` (fewer than rows / most; a shuffle join if even they are too many). ``rows``
+    is read more than once.
+    """
+    others = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c != key]
+    none = rows.where(F.col(key).isNull()).select("*", *others)
+    known = rows.where(F.col(key).isNotNull())
+    hot = cut(known.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(key))
+    if hot.isEmpty():
+        return known.join(right, key, "left").unionByName(none)
+    keys = small_side(hot, 100_000)
+    looked_up = known.join(keys, key, "left_semi").join(small_side(cut(right.join(keys, key, "left_semi")), 100_000), key, "left")
+    return known.join(keys, key, "left_anti").join(right, key, "left").unionByName(looked_up).unionByName(none)
+
+
 def exclude(rows: DataFrame, *others: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in none of ``others``."""
     for other in others:

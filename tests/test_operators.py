@@ -112,6 +112,14 @@ def test_components_on_random_graphs(spark):
     assert components.components(spark.createDataFrame([], "x string, y string")).count() == 0
 
 
+def test_salted_left_join(spark):
+    rows = spark.createDataFrame([(n, "hot" if n < 50 else None if n < 60 else f"k{n}") for n in range(80)], "n int, k string")
+    right = spark.createDataFrame([("hot", 1), ("k70", 2), ("other", 3)], "k string, v int")
+    want = sorted((r.n, r.k or "", r.v or 0) for r in rows.join(right, "k", "left").collect())
+    for most in (10, 1000):
+        assert sorted((r.n, r.k or "", r.v or 0) for r in joins.salted_left_join(rows, right, "k", most).collect()) == want
+
+
 def test_member_pairs_of_hot_classes(spark):
     left = spark.createDataFrame([("big", n) for n in range(40)] + [("x", 100), ("lone", 7)], "cls string, id int")
     right = spark.createDataFrame([("y", n) for n in range(30)] + [("big", 500)], "cls string, id int")
