@@ -2,7 +2,8 @@
 
 A response's answer is cut into clauses and a linear-chain conditional random field tags each one as answer, refusal,
 echo, foreign or unfinished, from the clause's words, its overlap with the post, the string kernel's verdict on its
-language and how it ends. The clauses' shares of the words decide the pair's defect. The field is fitted here on clause
+language, how it ends and whether what it stands in (an object, a think block) ever ends. The clauses' shares of the words
+decide the pair's defect; a response without clauses covers nothing and is empty. The field is fitted here on clause
 sequences that are made up from phrase lists and from a bounded sample of posts.
 """
 
@@ -20,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import salted_left_join
 from millrace.session import spread
 
 from .canon import canonical
@@ -60,16 +62,16 @@ _ENDED = re.compile(r"[.!?…。！？)\]\"”’\u2600-\u27bf\U0001f300-\U0001f
 
 
 def answer_of(raw: str | None) -> tuple[str, str]:
-    """(answer text, state) of a raw output; state is 'whole', 'broken' (breaks off) or 'empty'.
+    """(answer text, state) of a raw output; state is 'whole', 'broken' (what the text stands in never ends) or 'empty'.
 
     Think blocks and fences are taken off; of a JSON object the explanation counts. A think block or an object that
-    never ends is broken; null, blank, placeholder and think-only outputs are empty.
+    never ends is broken, its text is what there is of it; null, blank, placeholder and think-only outputs are empty.
     """
     text = canonical(raw or "").strip()
     if "</think>" in text:
         text = text.rsplit("</think>", 1)[1].strip()
     elif "<think>" in text:
-        return "", "broken"
+        return text.rsplit("<think>", 1)[1].strip(), "broken"
     text = _FENCE.sub("", text).strip()
     if text.lower() in PLACEHOLDERS:
         return "", "empty"
@@ -88,7 +90,7 @@ def answer_of(raw: str | None) -> tuple[str, str]:
             if found and body.rstrip().endswith("}"):
                 value = {"explanation": found.group(1)}
             else:
-                return "", "broken"
+                return body.rsplit(":", 1)[-1].strip(" \"',{["), "broken"
         if isinstance(value, list):
             value = next((v for v in value if isinstance(v, dict)), None)
         if not isinstance(value, dict):
@@ -114,8 +116,13 @@ def _own(clause: str) -> str:
     return own if len(own.split()) >= 3 else clause
 
 
-def features(parts: list[str], post: frozenset[str], foreign: list[int]) -> list[list[int]]:
-    """Feature ids of each clause; ``foreign`` is the binned lead of other languages over English."""
+def features(parts: list[str], post: frozenset[str], foreign: list[int], broken: bool = False) -> list[list[int]]:
+    """Feature ids of each clause; ``foreign`` is the binned lead of other languages over English, ``broken`` says that
+    what the clauses stand in never ends.
+
+    All words and word pairs of a clause are features, since they tell refusals from answers. They are left out where a
+    clause is of another language or repeats the post: there they would only teach what posts are about.
+    """
     words = [py_words(_own(p)) for p in parts]
     told = set().union(*words) if words else set()
     covers = len(told & post) / len(post) if post else 0.0
@@ -129,6 +136,8 @@ def features(parts: list[str], post: frozenset[str], foreign: list[int]) -> list
         ids = [0, 1 + _bin(held), 8 + _bin(covers), 16 + _bin(alike), 24 + 6 * min(3, _bin(held) // 2) + _bin(covers), 50 + foreign[k], 60 + 2 * at_end + ended, 66 + (k == 0), 70 + min(n, 5)]
         if at_end and not ended and alike < 0.5:
             ids.append(78)
+        if at_end and broken:
+            ids.append(79)
         if foreign[k] <= 1 and held < 0.8:
             ids += [100 + zlib.crc32(w.encode()) % HASHED for w in own]
             ids += [100 + zlib.crc32(f"{a} {b}".encode()) % HASHED for a, b in zip(own, own[1:])]
@@ -246,8 +255,9 @@ def _edited(post: str, rng: random.Random) -> str:
     return text.lower() if rng.random() < 0.2 else regex.sub(r"[.,!?]", "", text) if rng.random() < 0.15 else text
 
 
-def made_up(posts: list[str], codes: list[str], sound: list[str], rng: random.Random, count: int = 1800) -> list[tuple[str, list[str], list[int]]]:
-    """(post, clauses, tags) to fit on; ``sound`` are clauses of reference explanations."""
+def made_up(posts: list[str], codes: list[str], sound: list[str], rng: random.Random, count: int = 1800) -> list[tuple[str, list[str], list[int], bool]]:
+    """(post, clauses, tags, broken) to fit on; ``sound`` are clauses of reference explanations. In a seventh, what the
+    clauses stand in never ends, so the last one is unfinished whatever it says."""
     foreign = [p for p, c in zip(posts, codes, strict=True) if c != "en"] or ["Nichts ist so schön wie der alte Garten."]
     posts = posts or ["a post about a queue"]
     out = []
@@ -266,9 +276,12 @@ def made_up(posts: list[str], codes: list[str], sound: list[str], rng: random.Ra
                 words = parts[-1][0].split(" ")
                 cut = " ".join(words[: rng.randint(2, max(2, len(words) - 1))])
                 parts[-1] = (cut[: rng.randint(max(3, len(cut) - 4), len(cut))].rstrip(" .,"), 4)
+        broken = len(out) % 7 == 0
+        if broken and parts:
+            parts[-1] = (parts[-1][0], 4)
         if parts and parts[0][0]:
-            out.append((canonical(post), parts, kind))
-    return [(post, [p for p, _ in parts], [t for _, t in parts]) for post, parts, _ in out]
+            out.append((canonical(post), [p for p, _ in parts], [t for _, t in parts], broken))
+    return out
 
 
 def sound_clauses(samples: DataFrame, most: int = SOUND_ROWS) -> list[str]:
@@ -287,13 +300,17 @@ def train(samples: DataFrame, per_language: int = POSTS_PER_LANGUAGE) -> tuple[M
     rng.shuffle(english)
     model = fit_language(english + texts, ["en"] * len(english) + codes, landmarks=80)
     examples = made_up(texts, codes, sound, rng)
-    bins = foreign_bins(model, [parts for _, parts, _ in examples], {})
-    sequences = [features(parts, frozenset(py_words(post)), b) for (post, parts, _), b in zip(examples, bins, strict=True)]
-    return model, fit_field(sequences, [tags for _, _, tags in examples])
+    bins = foreign_bins(model, [parts for _, parts, _, _ in examples], {})
+    sequences = [features(parts, frozenset(py_words(post)), b, broken) for (post, parts, _, broken), b in zip(examples, bins, strict=True)]
+    return model, fit_field(sequences, [tags for _, _, tags, _ in examples])
 
 
-def verdict(parts: list[str], tags: list[int]) -> str | None:
-    """The defect that the clauses' shares of the words make, if any."""
+def verdict(parts: list[str], tags: list[int], broken: bool = False) -> str | None:
+    """The defect that the clauses' shares of the words make, if any: no clauses cover nothing."""
+    if not parts:
+        return "empty"
+    if broken and tags[-1] == 4:
+        return "truncated"
     share = np.zeros(len(TAGS))
     for part, tag in zip(parts, tags, strict=True):
         share[tag] += max(1, len(py_words(part)))
@@ -315,27 +332,19 @@ def tagger(model: Model, field: Field, batches: Iterator[pd.DataFrame]) -> Itera
     for pdf in batches:
         if len(cache) > 200_000:
             cache = {}
-        defects: list[str | None] = [None] * len(pdf)
+        answers = [answer_of(raw if isinstance(raw, str) else None) for raw in pdf["raw_output"]]
+        parts = [[] if state == "empty" else clauses(text) or ([text or "…"] if state == "broken" else []) for text, state in answers]
+        broken = [state == "broken" for _, state in answers]
+        posts = [frozenset(py_words(canonical(p))) if isinstance(p, str) else frozenset() for p in pdf["post"]]
+        defects: list[str | None] = [verdict([], [])] * len(pdf)
         tagged: list[list[str]] = [[] for _ in range(len(pdf))]
-        open_: list[int] = []
-        parts: list[list[str]] = []
-        for k, raw in enumerate(pdf["raw_output"]):
-            text, state = answer_of(raw if isinstance(raw, str) else None)
-            if state != "whole":
-                defects[k] = "truncated" if state == "broken" else "empty"
-            else:
-                open_.append(k)
-                parts.append(clauses(text))
-        if open_:
-            posts = pdf["post"].to_list()
-            sets = [frozenset(py_words(canonical(posts[k]))) if isinstance(posts[k], str) else frozenset() for k in open_]
-            bins = foreign_bins(model, parts, cache)
-            sequences = [features(p, s, b) for p, s, b in zip(parts, sets, bins, strict=True)]
-            for begin in range(0, len(open_), 2000):
-                some = slice(begin, begin + 2000)
-                for k, p, tags in zip(open_[some], parts[some], field.tag(sequences[some]), strict=True):
-                    defects[k] = verdict(p, tags)
-                    tagged[k] = [TAGS[t] for t in tags]
+        open_ = [k for k, p in enumerate(parts) if p]
+        bins = foreign_bins(model, [parts[k] for k in open_], cache) if open_ else []
+        sequences = [features(parts[k], posts[k], b, broken[k]) for k, b in zip(open_, bins, strict=True)]
+        for begin in range(0, len(open_), 2000):
+            for k, tags in zip(open_[begin : begin + 2000], field.tag(sequences[begin : begin + 2000]), strict=True):
+                defects[k] = verdict(parts[k], tags, broken[k])
+                tagged[k] = [TAGS[t] for t in tags]
         yield pd.DataFrame({"prediction_no": pdf["prediction_no"], "defect": defects, "tags": tagged})
 
 
@@ -350,7 +359,7 @@ def tagged(predictions: DataFrame, samples: DataFrame) -> DataFrame:
     model, field = train(samples)
     shared = samples.sparkSession.sparkContext.broadcast((model, field))  # bounded by the sample
     rows = spread(predictions.select("prediction_no", "sample_id", "raw_output").withColumn("id_key", sample_name(F.col("sample_id"))))
-    joined = rows.join(posts_by_id(samples), "id_key", "left").select("prediction_no", "raw_output", "post")
+    joined = salted_left_join(rows, posts_by_id(samples), "id_key").select("prediction_no", "raw_output", "post")
     return joined.mapInPandas(lambda batches: tagger(*shared.value, batches), "prediction_no long, defect string, tags array<string>")
 
 

@@ -289,6 +289,16 @@ def test_refusal_late_in_a_long_clause(judge):
     assert judge(WHOLE % (long + ".")) is None
 
 
+def test_a_broken_object_is_tagged_unfinished_by_the_field(spark):
+    import pandas as pd
+
+    model, field = pairdefects.train(table(spark, "/root/testdata/sf0.01", "samples"))
+    raws = [WHOLE[:60], "<think>The author sounds happy. The caption praises the queue.", '{"visual_evidence": "a cat", "explanation": "The caption treats the long wait as good news. The', None, WHOLE % "The caption treats the long wait as good news."]
+    out = next(pairdefects.tagger(model, field, iter([pd.DataFrame({"prediction_no": range(5), "raw_output": raws, "post": ["a post about a queue"] * 5})])))
+    assert [d if isinstance(d, str) else None for d in out["defect"]] == ["truncated"] * 3 + ["empty", None]
+    assert [t[-1] for t in out["tags"][:3]] == ["unfinished"] * 3 and out["tags"][3] == [] and set(out["tags"][4]) == {"answer"}
+
+
 def test_field_learns_a_chain():
     rng = random.Random(0)
     data = []
