@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# Label spellings of the two rules, after trimming and lower case.
-POSITIVE = ("sarcastic", "sarcasm", "ironic", "1", "1.0", "true", "yes")
-NEGATIVE = ("non-sarcastic", "non_sarcastic", "not_sarcastic", "nonsarcastic", "0", "0.0", "false", "no")
-NEGATIVE_B = ("non-sarcastic", "not-sarcastic", "nonsarcastic", "0", "0.0", "false", "no")
+# Label spellings of the two rules, after trimming and lower case (rule B reads underscores as hyphens).
+POSITIVE = ("sarcastic", "sarcasm", "ironic", "1")
+NEGATIVE = ("non-sarcastic", "non_sarcastic", "nonsarcastic", "not_sarcastic", "0")
+NEGATIVE_B = ("non-sarcastic", "nonsarcastic", "not-sarcastic", "0")
 LABELS = ("sarcastic", "non-sarcastic")
 # Aliases of a sample's fields, in order of preference.
-ALIASES = {"sample_id": ("sample_id", "id", "uid"), "text": ("text", "post_text", "post"), "label": ("label", "gold_label"), "image_path": ("image_path", "image")}
+ALIASES = {
+    "sample_id": ("sample_id", "id", "guid", "uid"),
+    "image_path": ("image_path", "image", "img_path", "photo_path"),
+    "text": ("text", "post_text", "caption", "tweet", "sentence"),
+    "label": ("label", "gold_label", "target", "class"),
+}
+METADATA = ("text_label", "image_label", "img_label")
 FIELDS = ("visual_evidence", "textual_evidence", "explanation", "label")
 _BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
@@ -27,35 +39,88 @@ def or_null(value: str | Column) -> Column:
     return F.when(text != "", text)
 
 
+def label_text(rows: DataFrame, column: str) -> Column:
+    """A label column as text for the rules: of booleans and numbers only 1 (true) and 0 (false) are labels."""
+    kind, value = rows.schema[column].dataType, F.col(column)
+    if isinstance(kind, StringType):
+        return value
+    number = value.cast("double")
+    return F.when(number == 1, "1").when(number == 0, "0")
+
+
 def label_rule_a(value: str | Column) -> Column:
-    """Exact spellings after trim and lower case; 'not-sarcastic' is none of them. Unknown and null: null."""
-    key = F.lower(strip(F.col(value).cast("string") if isinstance(value, str) else value.cast("string")))
+    """Exact spellings after trim and lower case; 'not-sarcastic' is none of them. Unknown and null: null.
+
+    The value is text; see :func:`label_text` for columns of other types.
+    """
+    key = F.lower(strip(value))
     return F.when(key.isin(*POSITIVE), LABELS[0]).when(key.isin(*NEGATIVE), LABELS[1])
 
 
 def label_rule_b(value: str | Column) -> Column:
     """As rule A with underscores read as hyphens, so 'not_sarcastic' and 'not-sarcastic' both count."""
-    key = F.regexp_replace(F.lower(strip(F.col(value).cast("string") if isinstance(value, str) else value.cast("string"))), "_", "-")
+    key = F.replace(F.lower(strip(value)), F.lit("_"), F.lit("-"))
     return F.when(key.isin(*POSITIVE), LABELS[0]).when(key.isin(*NEGATIVE_B), LABELS[1])
 
 
-def first_alias(columns: list[str], aliases: tuple[str, ...]) -> Column:
-    """First non-null of the alias columns there are; null if there is none."""
-    there = [F.col(a).cast("string") for a in aliases if a in columns]
+def first_alias(rows: DataFrame, field: str) -> Column:
+    """First non-null of the field's alias columns there are, as text; null if there is none."""
+    there = [label_text(rows, a) if field == "label" else F.col(a).cast("string") for a in ALIASES[field] if a in rows.columns]
     return F.coalesce(*there) if there else F.lit(None).cast("string")
 
 
-def normalised(samples: DataFrame) -> DataFrame:
-    """sample_id, image_path, text, label, source, language and error of raw samples under any alias.
+@F.pandas_udf(StringType())
+def generated_id(records: pd.DataFrame) -> pd.Series:
+    """'generated:' and 24 digits of the sha256 of a record as ASCII JSON with sorted keys; null for a null record.
+
+    A null field counts as absent, as in a JSON line without that key.
+    """
+
+    def made(record: dict | None) -> str | None:
+        there = {k: v for k, v in (record or {}).items() if v is not None}
+        if not there:
+            return None
+        return "generated:" + hashlib.sha256(json.dumps(there, sort_keys=True, default=str).encode()).hexdigest()[:24]
+
+    return pd.Series([made(r) for r in pa.Table.from_pandas(records, preserve_index=False).to_pylist()] if len(records) else [], dtype=object)
+
+
+def resolved_path(path: Column, base_dir: str | None) -> Column:
+    """``path`` under ``base_dir`` unless it is absolute, without '.', '..' and doubled slashes."""
+    if base_dir is None:
+        return path
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base_dir.rstrip("/") + "/"), path))
+    parts = F.filter(F.split(whole, "/+"), lambda p: ~p.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, p)))
+    return F.when(path.isNotNull(), F.concat(F.lit("/"), F.array_join(kept, "/")))
 
-    A missing id is generated from the content's sha256; optional blanks become null; ``error`` is the first failure.
+
+def normalised(samples: DataFrame, base_dir: str | None = None) -> DataFrame:
+    """sample_id, image_path, text, label, source, language, extraction_metadata, reference_reasoning and error of raw
+    samples under any alias.
+
+    A missing id is generated from the whole record; ``source`` and ``language`` may be called ``dataset`` and ``lang``;
+    optional blanks become null; of the metadata only the label columns there are. A reference is the record's own or,
+    without one, its ``analysis`` where ``reference_valid`` is true. ``error`` is the first failure.
     """
     has = samples.columns
-    pick = {name: first_alias(has, aliases) for name, aliases in ALIASES.items()}
-    text, label = pick["text"], label_rule_a(pick["label"])
-    made = F.concat(F.lit("generated:"), F.substring(F.sha2(F.concat_ws("\u001f", F.coalesce(pick["image_path"], F.lit("")), F.coalesce(text, F.lit(""))), 256), 1, 24))
-    optional = [or_null(F.col(c).cast("string")).alias(c) if c in has else F.lit(None).cast("string").alias(c) for c in ("source", "language")]
-    rows = samples.select(F.coalesce(or_null(pick["sample_id"]), made).alias("sample_id"), or_null(pick["image_path"]).alias("image_path"), text.alias("text"), label.alias("label"), *optional)
+    pick = {name: first_alias(samples, name) for name in ALIASES}
+    whole = F.struct(*(F.col(f"`{c}`") for c in has))
+    given = or_null(pick["sample_id"])
+    made = generated_id(F.when(given.isNull(), whole))
+    optional = []
+    for name, other in (("source", "dataset"), ("language", "lang")):
+        there = [or_null(F.col(c).cast("string")) for c in (name, other) if c in has]
+        optional.append((F.coalesce(*there) if there else F.lit(None).cast("string")).alias(name))
+    labels = [x for c in METADATA if c in has for x in (F.lit(c), F.col(c).cast("string"))]
+    metadata = F.map_filter(F.create_map(*labels), lambda k, v: v.isNotNull()) if labels else F.create_map().cast("map<string,string>")
+    reference = [F.col("reference_reasoning")] if "reference_reasoning" in has else []
+    if {"analysis", "reference_valid"} <= set(has):
+        reference.append(F.when(F.col("reference_valid") == F.lit(True), F.col("analysis")))
+    rows = samples.select(
+        F.coalesce(given, made).alias("sample_id"), resolved_path(or_null(pick["image_path"]), base_dir).alias("image_path"), pick["text"].alias("text"), label_rule_a(pick["label"]).alias("label"),
+        *optional, metadata.alias("extraction_metadata"), (F.coalesce(*reference) if reference else F.lit(None).cast("string")).alias("reference_reasoning"),
+    )
     error = F.when(or_null(F.col("text")).isNull(), "text is empty").when(F.col("label").isNull(), "label is unknown").when(F.col("image_path").isNull(), "image path is empty")
     return rows.withColumn("error", error)
 

@@ -32,9 +32,9 @@ def _samples(s: SparkSession, d: str) -> DataFrame:
 # --- records -------------------------------------------------------------------------------------------------------
 BOOK.add(
     "f9_normalised_records",
-    lambda s, d: records.normalised(_samples(s, d).where("sample_id is not null")),
-    f"""WITH n AS (SELECT coalesce({or_null_sql("sample_id")}, 'generated:' || substr(sha256(concat_ws(chr(31), coalesce(image_path, ''), coalesce(text, ''))), 1, 24)) AS sample_id, {or_null_sql("image_path")} AS image_path, text, {label_a("label")} AS label,
-      {or_null_sql("source")} AS source, {or_null_sql("language")} AS language FROM samples WHERE sample_id IS NOT NULL)
+    lambda s, d: records.normalised(_samples(s, d)).select("sample_id", "image_path", "text", "label", "source", "language", F.col("reference_reasoning.explanation").alias("explanation"), "error"),
+    f"""WITH n AS (SELECT {or_null_sql("sample_id")} AS sample_id, {or_null_sql("image_path")} AS image_path, text, {label_a("label")} AS label,
+      {or_null_sql("source")} AS source, {or_null_sql("language")} AS language, reference_reasoning.explanation AS explanation FROM samples)
     SELECT *, CASE WHEN {or_null_sql("text")} IS NULL THEN 'text is empty' WHEN label IS NULL THEN 'label is unknown' WHEN image_path IS NULL THEN 'image path is empty' END AS error FROM n""",
 )
 BOOK.add(

@@ -2,6 +2,9 @@
 
 import random
 
+import hashlib
+import json
+
 import pytest
 from pyspark.errors.exceptions.base import PySparkException
 from pyspark.sql import functions as F
@@ -155,11 +158,26 @@ def test_resampling_follows_the_weights(spark):
 
 
 def test_labels_and_records(spark):
-    df = spark.createDataFrame([("x", " SARCASTIC "), ("y", "not-sarcastic"), ("z", "not_sarcastic"), (None, "1.0"), (" ", None)], "id string, gold_label string").withColumns({"post_text": F.lit("t"), "image": F.lit("i")})
+    df = spark.createDataFrame([("x", " SARCASTIC "), ("y", "not-sarcastic"), ("z", "not_sarcastic"), (None, "1"), (" ", None), ("v", "1.0"), ("w", "true")], "id string, gold_label string").withColumns({"post_text": F.lit("t"), "image": F.lit("i")})
     rows = records.normalised(df).collect()
-    assert [r.label for r in rows] == ["sarcastic", None, "non-sarcastic", "sarcastic", None]
-    assert rows[3].sample_id.startswith("generated:") and rows[4].error == "label is unknown"
+    # strings are labels by their spelling alone; numbers and booleans by their value
+    assert [r.label for r in rows] == ["sarcastic", None, "non-sarcastic", "sarcastic", None, None, None]
+    record = {"gold_label": "1", "image": "i", "post_text": "t"}
+    assert rows[3].sample_id == "generated:" + hashlib.sha256(json.dumps(record, sort_keys=True).encode()).hexdigest()[:24]
+    assert rows[4].sample_id.startswith("generated:") and rows[4].sample_id != rows[3].sample_id and rows[4].error == "label is unknown"
     assert df.select(records.label_rule_b("gold_label").alias("b")).collect()[1].b == "non-sarcastic"
+    typed = spark.createDataFrame([(True, 1.0), (False, 0.0), (None, 2.0)], "label boolean, gold_label double")
+    assert [r.x for r in typed.select(records.label_rule_a(records.label_text(typed, "label")).alias("x")).collect()] == ["sarcastic", "non-sarcastic", None]
+    assert [r.x for r in typed.select(records.label_rule_a(records.label_text(typed, "gold_label")).alias("x")).collect()] == ["sarcastic", "non-sarcastic", None]
+
+
+def test_record_extras(spark):
+    reasoning = "struct<visual_evidence:string,textual_evidence:string,explanation:string,label:string>"
+    df = spark.createDataFrame([("a", "t", "1", "../b/./c.jpg", "s", "de", 1, ("v", "w", "e", "sarcastic"), True), ("b", "t", "0", "/x//y.jpg", None, None, None, ("v", "w", "e", "sarcastic"), False)],
+        f"guid string, tweet string, class string, photo_path string, dataset string, lang string, text_label int, analysis {reasoning}, reference_valid boolean")
+    a, b = records.normalised(df, "/data/in").collect()
+    assert (a.sample_id, a.text, a.label, a.image_path, a.source, a.language, a.extraction_metadata, a.reference_reasoning.explanation, a.error) == ("a", "t", "sarcastic", "/data/b/c.jpg", "s", "de", {"text_label": "1"}, "e", None)
+    assert (b.image_path, b.source, b.extraction_metadata, b.reference_reasoning) == ("/x/y.jpg", None, {}, None)
 
 
 def test_sentence_goldens(spark):
@@ -185,9 +203,33 @@ def test_scorers(spark):
     assert [r.score for r in scorers.score(df).collect()] == [1.0, 0.0, 1.0, 1.0]
     with pytest.raises(PySparkException, match="no scorer"):
         scorers.score(df.withColumn("data_source", F.lit("other"))).collect()
-    assert scorers.arithmetic("2 + 3 * 4 // 5") == 4 and scorers.arithmetic("1 / 0") is None and scorers.arithmetic("__import__('os')") is None
-    assert scorers.last_boxed(r"\boxed{a{b}c} \boxed{open") is None and scorers.last_boxed(r"\boxed{a{b}c}") == "a{b}c"
-    assert scorers.math_form(r"\dfrac{1}{2}") == scorers.math_form("1/2") and scorers.math_form("1,000 dollars") == "1000"
+    value = lambda text, **k: scorers.arithmetic(text, **k)[0]
+    assert value("2 + 3 * 4 // 6") == 4 and value("12 / 4") == 3 and value("7 / 2") is None and value("1 / 0") is None and value("__import__('os')") is None and value("-2") is None
+    assert value("100 * 100", within=(0, 999)) is None and value("5 - 7", within=(0, 999)) is None and value("5 - 7") == -2
+    assert scorers.last_boxed(r"\boxed{a{b}c} \boxed{open") is None and scorers.last_boxed(r"\boxed{a{b}c}") == "a{b}c" and scorers.last_boxed(r"$\boxed 7$ done") == "7"
+
+
+def test_math_forms():
+    same = [(r"\dfrac{1}{2}", "1/2"), ("0.5", r"\frac12"), (r"\frac1{72}", r"\frac{1}{72}"), ("x=5", "5"), (".5", "1/2"), (r"90^\circ", "90"), (r"5\text{ cm}", "5"), (r"\sqrt3", r"\sqrt{3}"), (r"\left(1, 2\right)", "(1,2)"), (r"10\%", "10"), (r"\frac{1}{2", r"\frac{1}{2")]
+    assert all(scorers.math_equal(a, b) for a, b in same)
+    assert not scorers.math_equal("1,000 dollars", "1000") and not scorers.math_equal("01/2", "1/2") and not scorers.math_equal(r"\sqrt", "x")
+    assert scorers.dapo_form("so x = 1,000 dollars") == "1000" and scorers.dapo_form(r"the value is $\frac12$ units") == r"\frac{1}{2}" and scorers.dapo_form(r"\text{ways}12 degrees") == "12"
+    assert scorers.numeric_equal("50%", "0.5") and scorers.numeric_equal("1,000", "1000.0") and not scorers.numeric_equal("1", "2") and not scorers.numeric_equal("pi", "3.14")
+
+
+def test_scored_structs(spark):
+    df = spark.createDataFrame([(r"\boxed{2 + 3}", [2, 3], 5), ("2 + 3 ", [2, 3], 5), (r"\boxed{5}", [2, 3], 5), (r"\boxed{3 / 2}", [2, 3], 1), (None, [2], 2)], "r string, n array<long>, t long")
+    assert [tuple(x) for x in df.select(scorers.countdown("r", "n", "t").alias("s")).select("s.*").collect()] == [(1.0, True, "2 + 3"), (1.0, True, "2 + 3"), (-1.0, False, "5"), (-1.0, False, "3 / 2"), (-1.0, False, None)]
+    df = spark.createDataFrame([("thus\nAnswer: 1,000 dollars", "1000"), ("no", "1"), (r"\boxed{7}", "7")], "r string, t string")
+    assert [tuple(x) for x in df.select(scorers.math_dapo("r", "t").alias("s")).select("s.*").collect()] == [(1.0, True, "1000"), (-1.0, False, "[INVALID]"), (-1.0, False, "[INVALID]")]
+    assert [tuple(x) for x in df.select(scorers.math_strict_box("r", "t").alias("s")).select("s.*").collect()] == [(-1.0, False, None), (-1.0, False, None), (1.0, True, "7")]
+    think, call = "<think>x</think>\n", '<tool_call>\n{"name": "look", "parameters": {"q": 1, "r": 2}}\n</tool_call>'
+    wanted = think + call
+    said = ["<|im_start|>assistant" + wanted + "<|im_end|>", think + call.replace('"r": 2', '"r": 3'), think + call.replace("look", "find"), "nothing", think + "<tool_call>\nnot json\n</tool_call>"]
+    df = spark.createDataFrame([(r, wanted) for r in said], "r string, t string")
+    got = [tuple(x) for x in df.select(scorers.tool_call_score(F.col("r"), F.col("t")).alias("s")).select("s.*").collect()]
+    # names 1, parameter names 1, one of two values: 3 of 4 points
+    assert got == [(4.0, 1.0, 3.0), (1.0 + 1.5, 1.0, 1.5), (-2.0, 1.0, -3.0), (-3.0, 0.0, -3.0), (-2.0, 1.0, -3.0)]
 
 
 def test_upsert_keeps_places(spark):
