@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -162,11 +164,106 @@ def tagged_answer(text: Column, tag: str = "answer") -> Column:
     return strip(F.try_element_at(F.regexp_extract_all(text, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), F.lit(-1)))
 
 
-def tool_calls(text: Column) -> Column:
-    """Names and JSON arguments of <tool_call> blocks that hold an object with a name."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), F.lit(1))
+CALLS = ArrayType(StructType([StructField("name", StringType()), StructField("arguments", StringType())]))
+
+
+def tool_calls(text: Column, form: str = "hermes", types: dict[str, dict[str, str]] | None = None) -> Column:
+    """(name, arguments as JSON) of the tool calls in a response, in one of :data:`TOOL_FORMS`.
+
+    ``types`` (function -> parameter -> type) is for XML, whose values are text without it.
+    """
+    return _xml_calls(types)(text) if form == "qwen3_coder" else TOOL_FORMS[form](text)
+
+
+def _json_calls(text: Column) -> Column:
+    """<tool_call> blocks that hold a JSON object with a name and arguments; others are left out."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), F.lit(1))
     calls = F.transform(blocks, lambda b: F.struct(F.get_json_object(b, "$.name").alias("name"), F.get_json_object(b, "$.arguments").alias("arguments")))
-    return F.filter(calls, lambda c: c["name"].isNotNull())
+    return F.filter(calls, lambda c: c["name"].isNotNull() & c["arguments"].isNotNull())
+
+
+def _channel_calls(text: Column) -> Column:
+    """Commentary messages to functions; what stands in the analysis channel is no call. Arguments are taken as they are."""
+    shown = F.regexp_replace(text, r"(?s)(?:<\|start\|>assistant)?<\|channel\|>analysis<\|message\|>.*?<\|end\|>", "")
+    pattern = r"(?s)<\|start\|>assistant<\|channel\|>[^<]* to=functions\.([^<]+) <\|constrain\|>json<\|message\|>(.*?)<\|call\|>"
+    names, arguments = (F.regexp_extract_all(shown, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    return F.zip_with(names, arguments, lambda n, a: F.struct(n.alias("name"), a.alias("arguments")))
+
+
+def _typed(value: str, kind: str | None = None) -> object:
+    """A value written as text, by its declared type; 'null' is null whatever the type, and what cannot be read is text."""
+    if value.lower() == "null":
+        return None
+    kind = (kind or "string").strip().lower()
+    try:
+        if kind.startswith(("int", "uint", "long", "short", "unsigned")):
+            return int(value)
+        if kind.startswith(("num", "float")):
+            number = float(value)
+            return number if number % 1 else int(number)
+        if kind in ("object", "array", "list") or kind.startswith("dict"):
+            return json.loads(value)
+    except ValueError:
+        return value
+    return value.lower() == "true" if kind in ("boolean", "bool", "binary") else value
+
+
+def _guessed(value: str) -> object:
+    """true, false, null and numbers as what they are, anything else as text."""
+    plain = value.strip()
+    if plain.lower() in ("true", "false", "null"):
+        return {"true": True, "false": False, "null": None}[plain.lower()]
+    for kind in (int, float):
+        try:
+            return kind(plain)
+        except ValueError:
+            pass
+    return plain
+
+
+def xml_calls(text: str, types: dict[str, dict[str, str]]) -> list[dict]:
+    """<function=name> with <parameter=key>value</parameter> inside <tool_call>; the last end tags may be missing."""
+    if "<tool_call>" not in text:
+        return []
+    out = []
+    for block in re.findall(r"(?s)<tool_call>(.*?)(?:</tool_call>|$)", text):
+        for name, inside in re.findall(r"(?s)<function=([^>]+)>(.*?)(?:</function>|$)", block):
+            values = {}
+            for key, value in re.findall(r"(?s)<parameter=([^>]+)>(.*?)(?:</parameter>|$)", inside):
+                values[key] = _typed(value.removeprefix("\n").removesuffix("\n"), types.get(name, {}).get(key))
+            out.append({"name": name, "arguments": json.dumps(values, ensure_ascii=False)})
+    return out
+
+
+def _xml_calls(types: dict[str, dict[str, str]] | None = None):  # noqa: ANN202
+    @F.pandas_udf(CALLS)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: xml_calls(t, types or {}) if isinstance(t, str) else None)
+
+    return run
+
+
+@F.pandas_udf(CALLS)
+def _marked_calls(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """call:name{key:value,...} between marks; text values stand between quote marks."""
+    call, argument = re.compile(r'(?s)<\|tool_call>call:(\w+)\{(.*?)\}<tool_call\|>'), re.compile(r'(?s)(\w+):(?:<\|"\|>(.*?)<\|"\|>|([^,}]*))')
+
+    def read(text: str | None) -> list[dict] | None:
+        if not isinstance(text, str):
+            return None
+        out = []
+        for name, inside in call.findall(text):
+            values = {m[1]: m[2] if m[2] is not None else _guessed(m[3]) for m in argument.finditer(inside)}
+            out.append({"name": name, "arguments": json.dumps(values, ensure_ascii=False)})
+        return out
+
+    for batch in texts:
+        yield batch.map(read)
+
+
+#: Ways in which models write tool calls: JSON in tags, channel messages, XML in tags, marked calls.
+TOOL_FORMS = {"hermes": _json_calls, "gpt-oss": _channel_calls, "qwen3_coder": lambda text: _xml_calls()(text), "gemma4": lambda text: _marked_calls(text)}
 
 
 def format_ok(text: Column) -> Column:

@@ -10,8 +10,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .grouped import streamed_groups
+from .ordering import micro_batch_rank
 
 
 def workload(length: Column) -> Column:
@@ -71,6 +73,54 @@ def balanced(rows: DataFrame, batch: str, idx: str, size: str, k: int, equal: bo
     return streamed_groups(plain, batch, idx, run, ", ".join(f"{c} {t}" for c, t in plain.dtypes) + ", part int")
 
 
+def ceil_div(a: Column, b: Column | int) -> Column:
+    """The least whole number of times ``b`` that covers ``a``."""
+    return F.ceil(a / b).cast("long")
+
+
+def round_up(a: Column, b: Column | int) -> Column:
+    """``a``, or the next multiple of ``b``."""
+    return ceil_div(a, b) * b
+
+
+def group_balanced(rows: DataFrame, batch: str, idx: str, length: str, uid: str, k: int) -> DataFrame:
+    """rows with ``part``: neighbouring rows of one ``uid`` stay together, and each part has as many of these groups, by
+    largest differencing on the groups' workloads. Groups must be at least k and divide into k parts."""
+
+    def run(group: list[tuple]) -> list[tuple]:
+        whole, costs = [0], []
+        for n, row in enumerate(group):
+            cost = 24576 * int(row[2]) + int(row[2]) ** 2
+            if n and row[3] == group[n - 1][3]:
+                whole.append(whole[-1])
+                costs[-1] += cost
+            else:
+                whole += [whole[-1] + 1] if n else []
+                costs.append(cost)
+        part = {g: p for p, items in enumerate(differencing(costs, k, equal=True)) for g in items}
+        return [(*row, part[g]) for row, g in zip(group, whole, strict=True)]
+
+    plain = rows.select(batch, idx, length, uid)
+    return streamed_groups(plain, batch, idx, run, ", ".join(f"{c} {t}" for c, t in plain.dtypes) + ", part int")
+
+
+def balanced_batch(rows: DataFrame, batch: str, idx: str, length: str, k: int, mode: str = "sequence", uid: str | None = None, mini: int | None = None) -> DataFrame:
+    """rows with ``part`` and ``place``, the zig-zag order by workload inside a part.
+
+    Modes: 'sequence' balances workloads over equal parts, 'group' keeps the rows of a ``uid`` together, 'minibatch'
+    balances inside each run of ``mini`` rows, so that those keep their members.
+    """
+    if mode == "group":
+        parted = group_balanced(rows, batch, idx, length, uid, k)
+    else:
+        cut_up = rows.withColumn("_run", F.struct(batch, F.floor((F.row_number().over(Window.partitionBy(batch).orderBy(idx)) - 1) / mini)).cast("string") if mode == "minibatch" else F.col(batch).cast("string"))
+        parted = balanced(cut_up.withColumn("_cost", workload(F.col(length).cast("long"))), "_run", idx, "_cost", k, equal=True)
+        parted = cut_up.select(batch, idx, length, "_run").join(parted.select("_run", idx, "part"), ["_run", idx]).drop("_run")
+    inside = Window.partitionBy(batch, "part")
+    rank = F.row_number().over(inside.orderBy(F.desc(length), idx)) - 1
+    return parted.withColumn("place", micro_batch_rank(rank, F.count(F.lit(1)).over(inside)))
+
+
 def micro_batches(rows: DataFrame, batch: str, idx: str, length: str, max_tokens: int, least: int = 1, multiple: int = 1) -> DataFrame:
     """rows with ``micro`` batch and ``place`` in its zig-zag order by workload.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.session import cut
+from millrace.session import cut, small_side
 
 
 def global_row_index(rows: DataFrame, order: list[str | Column], out: str = "row_idx") -> DataFrame:
@@ -41,6 +41,23 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
     return rows.orderBy(seeded_key(seed, key), key).limit(n)
 
 
+#: Which sources each pair of corpora is made of.
+PAIRS = {"mmsd2_docmsu": ("mmsd2", "docmsu"), "mmsd2_sarcnet": ("mmsd2", "sarcnet"), "docmsu_sarcnet": ("docmsu", "sarcnet")}
+
+
+def pairwise_groups(rows: DataFrame, key: str, source: str, seed: int = 42, pairs: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(group, place, ...): one seeded order of all rows, projected into groups of two sources each.
+
+    A row is in every group that has its source, at its place in the common order; its key must be unique.
+    """
+    pairs = pairs or PAIRS
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    checked = rows.join(counts, key).withColumn(key, F.when(F.col("_n") > 1, F.raise_error(F.lit("key in two rows")).cast(rows.schema[key].dataType)).otherwise(F.col(key))).drop("_n")
+    ordered = global_row_index(checked.withColumn("_order", seeded_key(seed, key)), ["_order", key], "place").drop("_order")
+    groups = F.array(*(F.when(F.col(source).isin(*names), F.lit(g)) for g, names in pairs.items()))
+    return ordered.withColumn("group", F.explode(F.array_compact(groups)))
+
+
 def stratified_sample(rows: DataFrame, key: str, strata: list[str], quotas: DataFrame, seed: int = 42) -> DataFrame:
     """The first ``quota`` rows of each stratum in seeded order, with ``selection_index`` from 1.
 
@@ -54,7 +71,7 @@ def stratified_sample(rows: DataFrame, key: str, strata: list[str], quotas: Data
     # a cut 8 standard deviations above the quota's share: fewer rows than the quota below it is out of the question
     share = (F.col("quota") + 8 * F.sqrt(F.col("quota")) + 16) / F.col("_have")
     order = seeded_key(seed, key)
-    near = rows.join(F.broadcast(wanted), strata).where(F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / 4294967296.0 < share)
+    near = rows.join(small_side(cut(wanted), 1_000_000), strata).where(F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / 4294967296.0 < share)
     ranked = near.withColumn("selection_index", F.row_number().over(Window.partitionBy(*strata).orderBy(order, F.col(key))))
     return ranked.where("selection_index <= quota").drop("quota", "_have")
 
@@ -79,6 +96,11 @@ def resample(rows: DataFrame, key: str, weight: Column, n: int, seed: int = 42)
     return hit.drop("_b", "_at", "_from", "_to", "_w")
 
 
+def first_rows_by(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The n rows that come first by ``order`` (a top-n)."""
+    return rows.orderBy(order).limit(n)
+
+
 def take_at(indexed: DataFrame, positions: DataFrame, row_idx: str = "row_idx") -> DataFrame:
     """Rows at listed positions (``pos`` order, ``row_idx`` repeats allowed)."""
     return positions.join(indexed, row_idx)

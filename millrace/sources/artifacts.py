@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import duplicates
+from millrace.operators.ordering import first_rows_by
+from millrace.session import small_side
+
 
 def upsert(base: DataFrame, incoming: DataFrame, key: str, position: str, arrival: str) -> DataFrame:
     """The latest incoming row per key in the place of the base's first match; later base copies are dropped, new keys
@@ -37,7 +41,7 @@ def repaired_journal(lines: DataFrame, parsed_ok: Column, repair_tail: bool = Tr
     Without ``repair_tail`` a bad last line raises too: of the two journals in use one repairs it and one does not.
     """
     ends = lines.groupBy("file").agg(F.max("line_no").alias("_end"))
-    marked = lines.withColumn("_ok", F.coalesce(parsed_ok, F.lit(False))).join(F.broadcast(ends), "file")
+    marked = lines.withColumn("_ok", F.coalesce(parsed_ok, F.lit(False))).join(small_side(ends, 1_000_000), "file")
     tail = (F.col("line_no") == F.col("_end")) & F.lit(repair_tail)
     # the check is in the filter itself, so no optimisation can drop bad lines before it
     bad = F.raise_error(F.concat(F.lit("corrupt journal line "), F.col("line_no"))).cast("boolean")
@@ -128,11 +132,81 @@ def load_docmsu(raw: DataFrame) -> DataFrame:
     return raw.select(F.concat(F.lit("docmsu:"), F.col("id")).alias("sample_id"), F.col("image").alias("image_path"), "text", label.alias("label"), F.lit("docmsu").alias("source"), F.lit("en").alias("language"))
 
 
+# Names of the benchmark corpora, letter case aside.
+DATASET_ALIASES = {"mmsd2": "mmsd2", "mmsd2.0": "mmsd2", "mmsd-v2": "mmsd2", "sarcnet": "sarcnet", "docmsu": "docmsu", "redeval": "redeval"}
+
+
+def benchmark_rows(name: str, raw: DataFrame) -> DataFrame:
+    """(sample_id, image_path, text, label, source, language) of a test corpus: image_id, text, label (mmsd2, redeval),
+    sample_id, image_path, text, label (docmsu) or also ``language`` (sarcnet)."""
+    key, language = ("sample_id", F.lit("en")) if name == "docmsu" else ("sample_id", F.col("language")) if name == "sarcnet" else ("image_id", F.lit("en"))
+    image = F.col("image_path") if key == "sample_id" else F.concat(F.col(key).cast("string"), F.lit(".jpg"))
+    parts = [F.lit(name), *([language] if name == "sarcnet" else []), F.col(key).cast("string")]
+    return raw.select(F.concat_ws(":", *parts).alias("sample_id"), image.alias("image_path"), "text", F.col("label").cast("string").alias("label"), F.lit(name).alias("source"), language.alias("language"))
+
+
+def load_benchmark(raw: dict[str, DataFrame], order: str | None = None, limit: int | None = None) -> DataFrame:
+    """The test corpora under their names or aliases, one named twice counts once; with ``limit`` (1 or more) the first rows
+    of each by its column ``order``. An unknown name is an error at once, a repeated id where the result is used."""
+    if limit is not None and limit < 1:
+        raise ValueError("a benchmark limit must be positive")
+    out: dict[str, DataFrame] = {}
+    for name, rows in raw.items():
+        known = DATASET_ALIASES.get(name.casefold())
+        if known is None:
+            raise ValueError(f"unsupported benchmark dataset {name}")
+        out.setdefault(known, benchmark_rows(known, rows if limit is None else first_rows_by(rows, order, limit)))
+    return _unique(list(out.values()), "sample_id")
+
+
+def load_pool(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(id, text, active) of pool files, one JSON object {"experiences": [{"id", "text", "active"}]} a row of ``value``.
+
+    Other or missing keys, blank ids or texts, an ``active`` that is no boolean and repeated ids raise where the result
+    is used.
+    """
+    items = F.from_json(F.get_json_object(value, "$.experiences"), "array<string>")
+    bad_file = F.raise_error(F.lit("a pool needs a list of experiences")).cast("array<string>")
+    rows = lines.select(F.explode(F.when(items.isNull(), bad_file).otherwise(items)).alias("item"))
+    exact = F.array_sort(F.json_object_keys("item")) == F.array(*map(F.lit, ("active", "id", "text")))
+    parsed = rows.select("item", exact.alias("exact"), F.from_json("item", "id string, text string, active boolean").alias("x"), F.get_json_object("item", "$.active").alias("flag"))
+    text = F.trim(F.col("x.text"))
+    bad = ~F.coalesce(F.col("exact"), F.lit(False)) | (F.coalesce("x.id", F.lit("")) == "") | (F.coalesce(text, F.lit("")) == "") | ~F.coalesce(F.col("flag").isin("true", "false"), F.lit(False))
+    entries = parsed.select(F.when(bad, F.raise_error(F.lit("invalid pool entry")).cast("string")).otherwise(F.col("x.id")).alias("id"), text.alias("text"), F.col("x.active").alias("active"))
+    repeated = duplicates(entries, "id").select(F.col("id").alias("_id"))
+    checked = entries.join(repeated, F.col("id") == F.col("_id"), "left")
+    return checked.select(F.when(F.col("_id").isNotNull(), F.raise_error(F.lit("duplicate pool id")).cast("string")).otherwise(F.col("id")).alias("id"), "text", "active")
+
+
+def load_normalizations(cache: DataFrame, candidates: DataFrame, method: str) -> DataFrame:
+    """The cached normalisations (place, sample_id, method, gold_label, normalization, attempts) of the candidates (place,
+    sample_id, gold_label).
+
+    The two orders must agree as far as both go; method and label must match and attempts be positive, or it is an error
+    where the result is used. Cached rows of other candidates are left out.
+    """
+    own = candidates.select("sample_id", F.col("place").alias("_at"), F.col("gold_label").alias("_gold"))
+    by_place = candidates.select("place", F.col("sample_id").alias("_there"))
+    joined = cache.join(own, "sample_id", "left").join(by_place, "place", "left")
+    bad = (
+        F.when(F.col("_there").isNotNull() & (F.col("_there") != F.col("sample_id")), "cache and candidates are in another order")
+        .when(F.col("_at").isNotNull() & ~F.col("method").eqNullSafe(F.lit(method)), "cache of another method")
+        .when(F.col("_at").isNotNull() & ~F.col("gold_label").eqNullSafe(F.col("_gold")), "cached label differs")
+        .when(F.col("_at").isNotNull() & ~F.coalesce(F.col("attempts") > 0, F.lit(False)), "invalid call record")
+    )
+    # the check is in the filter itself, so no optimisation can drop bad rows before it
+    kept = joined.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.col("_at").isNotNull()))
+    return kept.select(*cache.columns)
+
+
 def load_all(raw: dict[str, DataFrame], key: str = "sample_id") -> DataFrame:
     """Union of registered corpora; an id in two of them raises when the result is used."""
-    out: DataFrame | None = None
-    for name, rows in raw.items():
-        part = LOADERS[name](rows)
-        out = part if out is None else out.unionByName(part)
+    return _unique([LOADERS[name](rows) for name, rows in raw.items()], key)
+
+
+def _unique(parts: list[DataFrame], key: str) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     counts = out.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return out.join(counts, key).withColumn(key, F.when(F.col("_n") > 1, F.raise_error(F.lit("duplicate sample_id")).cast("string")).otherwise(F.col(key))).drop("_n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +121,21 @@ def dump_generations(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("step").json(path)
 
 
+def log_metrics(rows: DataFrame, path: str, step: str = "step") -> None:
+    """Append {"data": {...}, "step": n} a row: all other columns are the data, nulls left out."""
+    data = F.struct(*(c for c in rows.columns if c != step))
+    rows.select(F.to_json(F.struct(data.alias("data"), F.col(step).alias("step"))).alias("value")).write.mode("append").text(path)
+
+
+def reuse_or_dump(spark: SparkSession, path: str, step: int, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a step: those dumped before, if they are complete, else ``make()``, dumped whole or not at all."""
+    folder = f"{path}/step={step}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        make().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """A CSV report with a header; reports are a row a dataset and small, so they are one file."""
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -9,8 +9,8 @@ import pytest
 from pyspark.errors.exceptions.base import PySparkException
 from pyspark.sql import functions as F
 
-from millrace.functions import parsing, records, scorers
-from millrace.operators import aggregates, balance, components, estimators, joins, metrics, offpolicy, ordering, pairs, pool, sequences
+from millrace.functions import decisions, parsing, prompts, records, scorers
+from millrace.operators import aggregates, balance, batches, components, estimators, joins, metrics, offpolicy, ordering, pairs, pool, sequences
 from millrace.sources import artifacts, jsonl
 from millrace.streaming import queues
 
@@ -326,3 +326,144 @@ def test_repaired_sentences_are_whole(spark):
     fixed = [r.t for r in spark.createDataFrame([(many,), (long,)], "t string").select(parsing.repaired_sentences(F.col("t")).alias("t")).collect()]
     assert fixed[0] == "One is so. One is so. " + "; ".join(["One is so"] * 1098) + "."
     assert fixed[1] == "The praise sounds warm. The queue is long " + "the queue is long " * 5999 + "now."
+
+
+# decisions, prompts, batches
+def test_decisions(spark):
+    good = {"mechanism": "Use A when x.", "exclusion_boundary": " Not when y. "}
+    raws = [json.dumps(x) for x in (good, good | {"more": 1}, {"mechanism": "a"}, good | {"mechanism": " "}, good | {"mechanism": "word " * 80}, good | {"mechanism": "no end"})] + ["<think>x</think>" + json.dumps(good), "no json"]
+    df = spark.createDataFrame([(n, r) for n, r in enumerate(raws)], "n int, raw string")
+    plain, compressed = decisions.merge_error("raw"), decisions.merge_error("raw", accepted=7)
+    rows = df.select(plain.alias("e"), compressed.alias("c"), decisions.merged("raw", plain).alias("m")).orderBy("n").collect()
+    assert [r.e for r in rows] == [None, "fields are not exactly those expected", "fields are not exactly those expected", "mechanism: text is empty", "mechanism: too many words", None, None, "model output is not a single JSON object"]
+    assert rows[0].m.experience == "Use A when x. Not when y." and rows[6].m == rows[0].m and rows[5].c == "mechanism is no complete sentence" and rows[0].c is None and rows[4].c == "mechanism is no complete sentence"
+    assert df.select(decisions.merge_error("raw", accepted=6).alias("c")).collect()[0].c == "too many words together"
+    one = lambda text, e: spark.createDataFrame([(text,)], "raw string").select(e.alias("e")).collect()[0].e
+    boundary = json.dumps({"revised_exclusion_boundary": "Not when y."})
+    fixed = F.lit("Use A when x.")
+    assert one(boundary, decisions.boundary_merge_error("raw", fixed)) is None and one(boundary, decisions.boundary_merge_error("raw", fixed, most_words=6)) == "too many words together"
+    assert one(boundary, decisions.boundary_merged("raw", fixed, decisions.boundary_merge_error("raw", fixed))).experience == "Use A when x. Not when y."
+    cats = lambda *c: json.dumps({"causal_categories": list(c)})
+    error = decisions.abstraction_error("raw", 2, 3)
+    assert [one(c, error) for c in (cats("a  b.", "c"), cats("A.", "a!"), cats(), cats("a", "b", "c"), cats("a b c d"), cats(" "))] == [None, "categories repeat", "not one to so many categories", "not one to so many categories", "a category is too long", "a category is blank"]
+    assert one(cats("a  b.", "c"), decisions.abstraction("raw", error)) == ["a b", "c"]
+    rel = lambda a, t, r="why": json.dumps({"action": a, "target_id": t, "rationale": r})
+    error = decisions.relation_error("raw", F.lit("sarcastic"), F.array(F.lit("exp-1")))
+    assert [one(x, error) for x in (rel("ADD", None), rel("UPVOTE", "exp-1"), rel("UPVOTE", "exp-2"), rel("ADD", "exp-1"), rel("SKIP", None), rel("ADD", None, " "))] == [None, None, "target is not active", "target must be null", "action is not one of the label's", "rationale is empty"]
+    assert one(rel("SKIP", None), decisions.relation_error("raw", F.lit("non-sarcastic"), F.array(F.lit("exp-1")))) is None
+    assert one(rel("UPVOTE", "exp-1", " so "), decisions.relation("raw", error)).rationale == "so"
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([("hello", "Learn this. ", "sarcnet", {"text_label": "1", "image_label": "0"}, ["T\nbody\nmore", "only"])], "text string, exp string, source string, meta map<string,string>, docs array<string>")
+    blind = prompts.blind_messages(F.col("text"), "SYS")
+    got = df.select(blind.alias("m"), prompts.with_experience(blind, F.col("exp"), "G").alias("w"), prompts.with_experience(blind, F.lit(" "), "G").alias("u"), prompts.with_experience(F.slice(blind, 2, 1), F.col("exp"), "G").alias("n"),
+        prompts.supervision_block(F.col("source"), F.col("meta")).alias("s"), prompts.supervision_block(F.lit("mmsd2"), F.col("meta")).alias("none"), prompts.passages(F.col("docs")).alias("p"),
+        prompts.comparative_prompt({"text": F.col("text"), "teacher": F.lit(None).cast("string"), "gold_label": F.lit("x")}).alias("c")).collect()[0]
+    assert got.m[1].content.startswith("<image>\nTreat") and "<post_text>\nhello\n</post_text>" in got.m[1].content and got.u == got.m
+    assert got.w[0].content == "SYS\n\nG\n\nLearn this." and got.w[1] == got.m[1] and got.n[0].role == "system" and got.n[0].content == "G\n\nLearn this."
+    assert got.s == '<sarcnet_supervision>\n{"image_label": "0", "text_label": "1"}\n</sarcnet_supervision>' and got.none == ""
+    assert got.p == "Doc 1 (Title: T)\nbody\nmore\n\nDoc 2 (Title: only)" and got.c == "POST TEXT\nhello\n\nGOLD LABEL\nx"
+    with pytest.raises(PySparkException, match="incomplete"):
+        df.select(prompts.supervision_block(F.lit("docmsu"), F.col("meta"))).collect()
+    obj = spark.createDataFrame([(("b\"q", None),)], "v struct<b:string,a:string>").select(prompts.sorted_object(F.col("v"), ("b", "a")).alias("j")).collect()[0].j
+    assert json.loads(obj) == {"a": None, "b": 'b"q'} and list(json.loads(obj)) == ["a", "b"]
+    context = spark.createDataFrame([(("g", "s", True, None, ""),), (("g", "s", True, "sarcastic", ""),), (("g", "s", False, "no", ""),), (("h", "s", True, None, ""),), (("g", "s", False, "sarcastic", None),)], "c struct<teacher_group:string,sample_id:string,blind_verified:boolean,gold_label:string,experience_text:string>")
+    assert [r.e for r in context.select(prompts.selected_context_error("c", F.lit("g")).alias("e")).collect()] == [None, "a verified context carries gold", "a failed context has no gold label", "another teacher group", "experience_text is missing"]
+    rows = spark.createDataFrame([("p", (5,), "img", 3), ("q", None, "img", None)], "prompt string, extra_info struct<index:int>, images string, n int")
+    made = prompts.decorated(rows)
+    assert "images" not in made.columns and [(r.raw_prompt, r["index"], r.tools_kwargs) for r in made.collect()] == [("p", 5, {}), ("q", 0, {})]
+    assert [r.prompt for r in prompts.without_long_prompts(rows, F.col("n"), 3).collect()] == ["p"]
+
+
+def test_batch_shapes(spark):
+    df = spark.createDataFrame([(n, [n] * (n % 3), "m") for n in range(6)], "i int, x array<bigint>, meta string")
+    assert batches.select_columns(df, ["i"], ["x", "none"]).columns == ["i", "x"] and [f.columns for f in batches.pop_columns(df, ["x"])] == [["x"], ["i", "meta"]]
+    with pytest.raises(KeyError):
+        batches.pop_columns(df, ["none"])
+    with pytest.raises(ValueError):
+        batches.rename_columns(df, ["i"], ["a", "b"])
+    assert batches.rename_columns(df, ["i"], ["k"]).columns[0] == "k" and batches.prefixed(df, "v/", ("i",)).columns == ["i", "v/x", "v/meta"]
+    assert batches.concat_batches([df, df], ["meta"]).count() == 12
+    with pytest.raises(PySparkException, match="disagree"):
+        batches.concat_batches([df, df.withColumn("meta", F.lit("other"))], ["meta"]).count()
+    with pytest.raises(ValueError):
+        batches.concat_batches([df, df.drop("x")])
+    assert batches.merged_columns(df, df.select("i", "meta", F.lit(1).alias("y")), "i").columns == ["i", "x", "meta", "y"]
+    with pytest.raises(PySparkException, match="conflicting"):
+        batches.merged_columns(df, df.select("i", F.lit("z").alias("meta")), "i").collect()
+    for candidate, edge in (("first", []), ("last", [5, 5])):
+        padded = batches.pad_rows(df, "i", 2, candidate).orderBy("i").collect()
+        assert [r.i for r in padded] == list(range(8)) and [r.is_pad for r in padded] == [False] * 6 + [True] * 2 and padded[7].x == edge
+    folded = batches.fold(df, "i", 2, 3)
+    assert {r.group: [x.i for x in r["items"]] for r in folded.collect()} == {0: [0, 1, 2], 1: [3, 4, 5]} and batches.unfold(folded).count() == 6
+    with pytest.raises(PySparkException, match="do not fill"):
+        batches.fold(df, "i", 1, 4).collect()
+    got = {r.b: r for r in batches.collate(df.withColumn("b", F.floor(F.col("i") / 3)), "b", "i", ["x"], 0).collect()}
+    assert got[1].offsets == [0, 0, 1, 3] and got[1].x == [4, 5, 5] and got[1].x_padded == [[0, 0], [4, 0], [5, 5]]
+    assert batches.as_lists(df, ["meta"], "i", ["i", "x"]).collect()[0].i == list(range(6))
+    assert batches.sampler(df, "i", 4).count() == 4 and batches.sampler(df, "i", 4, drop_last=False).count() == 6 and batches.first_rows(df, "i", 2).count() == 2
+    assert [(r.epoch, r.global_step) for r in batches.epochs(df, "i", 2).where("i = 5").orderBy("epoch").collect()] == [(0, 5), (1, 11)]
+    versions = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (1, 3)], "v int, c int")
+    assert [tuple(r) for r in batches.version_metrics(versions, "v", "c").orderBy("c").collect()] == [(1, 1, 0, 0), (2, 2, 1, 1), (3, 1, 1, 2)]
+    pilot = spark.createDataFrame([(True, 0.5, 1.0), (False, None, float("nan"))], "ok boolean, loss double, s double")
+    r = batches.pilot_summary(pilot, F.col("ok"), F.col("loss"), F.col("s")).collect()[0]
+    assert (r.rollout_samples, r.rollout_json_valid, r.rollout_valid, r.distillation_loss, r.scores_finite, r.kl_finite) == (2, 1, False, 0.5, False, False)
+
+
+def test_tool_call_forms(spark):
+    call = lambda text, form, **k: [(c.name, json.loads(c.arguments)) for c in spark.createDataFrame([(text,)], "t string").select(parsing.tool_calls(F.col("t"), form, **k).alias("c")).collect()[0].c]
+    assert call('<tool_call>\n{"name": "f", "arguments": {"a": {"b": [1]}}}\n</tool_call> x <tool_call>bad</tool_call><tool_call>{"name": "g"}</tool_call>', "hermes") == [("f", {"a": {"b": [1]}})]
+    hidden = '<|channel|>analysis<|message|>think<|start|>assistant<|channel|>commentary to=functions.no <|constrain|>json<|message|>{}<|call|><|end|>'
+    assert call(hidden + '<|start|>assistant<|channel|>commentary to=functions.find <|constrain|>json<|message|>{"q": 1}<|call|>', "gpt-oss") == [("find", {"q": 1})]
+    xml = "<tool_call>\n<function=f>\n<parameter=n>\n5\n</parameter>\n<parameter=s>\nnull\n</parameter>\n<parameter=o>{\"k\": 1}"
+    assert call(xml, "qwen3_coder") == [("f", {"n": "5", "s": None, "o": '{"k": 1}'})] and call(xml, "qwen3_coder", types={"f": {"n": "integer", "o": "object"}}) == [("f", {"n": 5, "s": None, "o": {"k": 1}})]
+    assert call('<|tool_call>call:f{a:<|"|>x, y<|"|>,b:2.5,c:true,d:null,e:word}<tool_call|>', "gemma4") == [("f", {"a": "x, y", "b": 2.5, "c": True, "d": None, "e": "word"})]
+
+
+def test_group_balance_and_pairs_of_corpora(spark):
+    rows = spark.createDataFrame([(0, n, 10 * (n // 2) + 1, f"u{n // 2}") for n in range(16)], "b int, i int, n int, u string")
+    got = balance.balanced_batch(rows, "b", "i", "n", 4, "group", "u").collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r.part, set()).add(r.i // 2)
+    assert len(got) == 16 and all(len(us) == 2 for us in parts.values()) and len(set().union(*parts.values())) == 8
+    assert {(r.part, r.place) for r in got} == {(p, k) for p in range(4) for k in range(4)}
+    for mode in ("sequence", "minibatch"):
+        out = balance.balanced_batch(rows, "b", "i", "n", 4, mode, mini=8).collect()
+        assert len(out) == 16 and (mode == "sequence" or all({r.i // 8 for r in out if r.part == p} == {0, 1} for p in range(4)))
+    assert spark.range(1).select(balance.ceil_div(F.lit(7), 2).alias("a"), balance.round_up(F.lit(7), 4).alias("b")).collect()[0] == (4, 8)
+    corpora = spark.createDataFrame([(f"d{n}", "docmsu") for n in range(5)] + [(f"m{n}", "mmsd2") for n in range(8)] + [("s0", "sarcnet"), ("s1", "sarcnet")], "id string, source string")
+    groups = ordering.pairwise_groups(corpora, "id", "source").collect()
+    sizes = {g: len({r.id for r in groups if r.group == g}) for g in ordering.PAIRS}
+    assert sizes == {"mmsd2_docmsu": 13, "mmsd2_sarcnet": 10, "docmsu_sarcnet": 7} and len({r.place for r in groups}) == 15
+
+
+def test_pool_and_cache_loads(spark, tmp_path):
+    pool_of = lambda *items: spark.createDataFrame([(json.dumps({"experiences": list(items)}),)], "value string")
+    item = {"id": "exp-1", "text": " t ", "active": True}
+    assert [tuple(r) for r in artifacts.load_pool(pool_of(item, item | {"id": "exp-2", "active": False})).collect()] == [("exp-1", "t", True), ("exp-2", "t", False)]
+    for bad in ((item, item), (item | {"more": 1},), (item | {"text": " "},), (item | {"active": "yes"},), ({"id": "a", "text": "b"},)):
+        with pytest.raises(PySparkException, match="pool"):
+            artifacts.load_pool(pool_of(*bad)).collect()
+    with pytest.raises(PySparkException, match="list of experiences"):
+        artifacts.load_pool(spark.createDataFrame([('{"a": 1}',)], "value string")).collect()
+    wanted = spark.createDataFrame([(0, "a", "x"), (1, "b", "y"), (2, "c", "x")], "place int, sample_id string, gold_label string")
+    cache = lambda *rows: spark.createDataFrame(list(rows), "place int, sample_id string, method string, gold_label string, normalization string, attempts int")
+    load = lambda *rows: [r.sample_id for r in artifacts.load_normalizations(cache(*rows), wanted, "m").collect()]
+    assert load((0, "a", "m", "x", "n", 1), (1, "b", "m", "y", "n", 2)) == ["a", "b"]
+    for rows, match in (([(0, "b", "m", "y", "n", 1)], "order"), ([(0, "a", "k", "x", "n", 1)], "method"), ([(0, "a", "m", "y", "n", 1)], "label"), ([(0, "a", "m", "x", "n", 0)], "call")):
+        with pytest.raises(PySparkException, match=match):
+            load(*rows)
+    raw = spark.createDataFrame([(1, "t", 1), (2, "u", 0)], "image_id int, text string, label int")
+    assert [r.sample_id for r in artifacts.load_benchmark({"MMSD2.0": raw, "RedEval": raw}, "image_id", 1).orderBy("sample_id").collect()] == ["mmsd2:1", "redeval:1"]
+    with pytest.raises(ValueError, match="unsupported"):
+        artifacts.load_benchmark({"other": raw})
+    made = []
+    make = lambda: made.append(1) or raw
+    for _ in range(2):
+        assert jsonl.reuse_or_dump(spark, f"{tmp_path}/dump", 3, make).count() == 2
+    assert made == [1]
+    for step in (1, 2):
+        jsonl.log_metrics(spark.createDataFrame([(step, 0.5, None)], "step int, loss double, other string"), f"{tmp_path}/log")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/log").collect()) == ['{"data":{"loss":0.5},"step":1}', '{"data":{"loss":0.5},"step":2}']
