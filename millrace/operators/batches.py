@@ -80,19 +80,18 @@ def unfold(folded: DataFrame) -> DataFrame:
 def collate(rows: DataFrame, batch: str, order: str, jagged: list[str], pad: int | None = None) -> DataFrame:
     """(batch, offsets, columns): a batch's arrays one after the other with the offsets where each begins and, with
     ``pad``, also side by side at the batch's longest length. A batch is as large as the sampler makes it."""
-    packed = rows.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(order, *jagged))).alias("x"))
-    sizes = F.transform(F.col(f"x.{jagged[0]}"), F.size)
-    offsets = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
-    longest = F.array_max(sizes)
-    columns = [F.flatten(F.col(f"x.{c}")).alias(c) for c in jagged]
+    packed = rows.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), *jagged))).alias("_x")).select(batch, *(F.col(f"_x.{c}").alias(c) for c in jagged))
+    packed = packed.withColumn("_sizes", F.transform(jagged[0], lambda v: F.size(v))).withColumn("_longest", F.array_max("_sizes"))
+    offsets = F.expr("transform(sequence(0, size(_sizes)), k -> aggregate(slice(_sizes, 1, k), 0, (a, n) -> a + n))")
+    columns = [F.flatten(c).alias(c) for c in jagged]
     if pad is not None:
-        columns += [F.transform(F.col(f"x.{c}"), lambda v: F.concat(v, F.array_repeat(F.lit(pad).cast("bigint"), longest - F.size(v)))).alias(f"{c}_padded") for c in jagged]
+        columns += [F.expr(f"transform({c}, v -> concat(v, array_repeat(cast({pad} as bigint), _longest - size(v))))").alias(f"{c}_padded") for c in jagged]
     return packed.select(batch, offsets.alias("offsets"), *columns)
 
 
 def as_lists(rows: DataFrame, group: list[str], order: str, columns: list[str]) -> DataFrame:
     """A list a column and group, in order: rows of dicts become a dict of lists. Groups are bounded by their maker."""
-    packed = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("x"))
+    packed = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), *columns))).alias("x"))
     return packed.select(*group, *(F.col(f"x.{c}").alias(c) for c in columns))
 
 
