@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from millrace.operators.grouped import streamed_rows
+
 from .parsing import last_number, qa_form, tagged_answer
 
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {}
@@ -360,20 +362,22 @@ def overlong_penalty(length: Column, most: int, buffer: int, factor: float = 1.0
 
 def elo(matches: DataFrame, group: str, k: float = 32.0, start: float = 1000.0) -> DataFrame:
     """(group, player, elo, reward) after each group's matches (a, b, result of a: 1, 0.5, 0) in order of ``seq``; reward
-    is (elo - 1000) / 200 + 0.5. Ratings depend on order, so a group is one fold."""
+    is (elo - 1000) / 200 + 0.5. Ratings depend on order, so a group's matches stream past one by one; its players'
+    ratings are all that is remembered."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         rating: dict = {}
-        for row in pdf.sort_values("seq").itertuples(index=False):
-            ra, rb = rating.get(row.a, start), rating.get(row.b, start)
+        for name, _, a, b, result in rows:
+            ra, rb = rating.get(a, start), rating.get(b, start)
             expected = 1 / (1 + 10 ** ((rb - ra) / 400))
-            rating[row.a] = ra + k * (row.result - expected)
-            rating[row.b] = rb - k * (row.result - expected)
-        out = pd.DataFrame(sorted(rating.items()), columns=["player", "elo"])
-        return out.assign(**{group: pdf[group].iloc[0], "reward": (out["elo"] - 1000) / 200 + 0.5})[[group, "player", "elo", "reward"]]
+            rating[a] = ra + k * (result - expected)
+            rating[b] = rb - k * (result - expected)
+        for player, elo_ in sorted(rating.items()):
+            yield name, player, elo_, (elo_ - 1000) / 200 + 0.5
 
     kind = dict(matches.dtypes)
-    return matches.select(group, "seq", "a", "b", "result").groupBy(group).applyInPandas(run, f"{group} {kind[group]}, player {kind['a']}, elo double, reward double")
+    plain = matches.select(group, "seq", "a", "b", F.col("result").cast("double").alias("result"))
+    return streamed_rows(plain, group, "seq", run, f"{group} {kind[group]}, player {kind['a']}, elo double, reward double")
 
 
 def win_rates(matches: DataFrame, group: str) -> DataFrame:

@@ -7,13 +7,14 @@ Estimators are found by name in :data:`ESTIMATORS`.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .aggregates import group_stats, whiten
+from .grouped import streamed_rows
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -168,36 +169,39 @@ def tir_optimal_token_baseline(tokens: DataFrame) -> DataFrame:
     return optimal_token_baseline(tokens, compact=True)
 
 
-def _folded(tokens: DataFrame, fields: list[str], start: str, step: str, out: str) -> DataFrame:
-    """Fold each trajectory's tokens from last to first inside the JVM; (traj_id, uid, pos, mask, <struct fields of out>)."""
-    packed = tokens.groupBy("traj_id", "uid").agg(F.sort_array(F.collect_list(F.struct("pos", "mask", *fields)), asc=False).alias("t"))
-    return packed.select("traj_id", "uid", F.expr(f"aggregate(t, {start}, (s, x) -> {step}).done").alias(out))
-
-
 @estimator("gae")
 def gae(tokens: DataFrame, gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
     """Generalised advantage estimation; masked tokens carry the next value and advantage on. Token rows with
-    ``advantage`` (whitened, unmasked) and ``ret`` (advantage before whitening plus value)."""
-    start = "named_struct('done', cast(array() as array<struct<pos: bigint, mask: int, value: double, adv: double>>), 'next', 0.0D, 'lam', 0.0D)"
-    adv = f"(x.reward + {gamma}D * s.next - x.value + {gamma * lam}D * s.lam)"
-    step = f"""named_struct(
-        'done', concat(s.done, array(named_struct('pos', cast(x.pos as bigint), 'mask', cast(x.mask as int), 'value', cast(x.value as double),
-                'adv', if(x.mask <> 0, {adv}, s.lam)))),
-        'next', if(x.mask <> 0, cast(x.value as double), s.next), 'lam', if(x.mask <> 0, {adv}, s.lam))"""
-    rows = _folded(tokens.withColumns({"reward": F.col("reward").cast("double"), "value": F.col("value").cast("double")}), ["reward", "value"], start, step, "x")
-    flat = rows.select("traj_id", "uid", F.explode("x").alias("x")).select("traj_id", "uid", "x.pos", "x.mask", "x.adv", (F.col("x.adv") + F.col("x.value")).alias("ret"))
+    ``advantage`` (whitened, unmasked) and ``ret`` (advantage before whitening plus value). Trajectories stream past from
+    their last token to their first."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        later, carried = 0.0, 0.0
+        for traj, uid, pos, mask, reward, value in rows:
+            if mask:
+                carried, later = reward + gamma * later - value + gamma * lam * carried, value
+            yield traj, uid, pos, mask, carried, carried + value
+
+    kind = dict(tokens.dtypes)
+    plain = tokens.select("traj_id", "uid", "pos", F.col("mask").cast("int").alias("mask"), F.col("reward").cast("double").alias("reward"), F.col("value").cast("double").alias("value"))
+    flat = streamed_rows(plain, "traj_id", "pos", run, f"traj_id {kind['traj_id']}, uid {kind['uid']}, pos {kind['pos']}, mask int, adv double, ret double", descending=True)
     return whiten(flat, "adv", "mask", "advantage").select("traj_id", "uid", "pos", "advantage", "ret")
 
 
 @estimator("reinforce_plus_plus")
 def reinforce_pp(tokens: DataFrame, gamma: float = 0.9) -> DataFrame:
     """Discounted return, reset after masked tokens, whitened on valid ones. Token rows with ``advantage`` and ``ret``."""
-    start = "named_struct('done', cast(array() as array<struct<pos: bigint, mask: int, ret: double>>), 'run', 0.0D)"
-    step = f"""named_struct(
-        'done', concat(s.done, array(named_struct('pos', cast(x.pos as bigint), 'mask', cast(x.mask as int), 'ret', x.reward + {gamma}D * s.run))),
-        'run', (x.reward + {gamma}D * s.run) * x.mask)"""
-    rows = _folded(tokens.withColumn("reward", F.col("reward").cast("double")), ["reward"], start, step, "x")
-    flat = rows.select("traj_id", "uid", F.explode("x").alias("x")).select("traj_id", "uid", "x.pos", "x.mask", "x.ret")
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        later = 0.0
+        for traj, uid, pos, mask, reward in rows:
+            ret = reward + gamma * later
+            later = ret * mask
+            yield traj, uid, pos, mask, ret
+
+    kind = dict(tokens.dtypes)
+    plain = tokens.select("traj_id", "uid", "pos", F.col("mask").cast("int").alias("mask"), F.col("reward").cast("double").alias("reward"))
+    flat = streamed_rows(plain, "traj_id", "pos", run, f"traj_id {kind['traj_id']}, uid {kind['uid']}, pos {kind['pos']}, mask int, ret double", descending=True)
     return whiten(flat, "ret", "mask", "white").select("traj_id", "uid", "pos", (F.col("white") * F.col("mask")).alias("advantage"), "ret")
 
 

@@ -7,13 +7,14 @@ from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def streamed_groups(rows: DataFrame, key: str, order: str, run: Callable[[list[tuple]], Iterable[tuple]], schema: str, flush: int = 20_000) -> DataFrame:
     """``run`` on the row tuples of each group, in order; its tuples make the result.
 
     Rows are partitioned by the key and sorted inside their partition, so groups stream past: a task holds one group
-    and a buffer of results at a time.
+    and a buffer of results at a time. For groups whose size a parameter bounds; see :func:`streamed_rows` for others.
     """
     at, names = rows.columns.index(key), [c.strip().split(" ")[0] for c in schema.split(",")]
 
@@ -29,3 +30,23 @@ def streamed_groups(rows: DataFrame, key: str, order: str, run: Callable[[list[t
             yield pd.DataFrame(out, columns=names)
 
     return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(work, schema)
+
+
+def streamed_rows(rows: DataFrame, key: str, order: str, run: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, descending: bool = False, flush: int = 20_000) -> DataFrame:
+    """As :func:`streamed_groups`, but ``run`` gets a group's row tuples as an iterator and its tuples are passed on as they
+    come: a task holds a row, what ``run`` remembers and a buffer, however long the group is."""
+    at, names = rows.columns.index(key), [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tuples = (row for pdf in batches for row in pdf.itertuples(index=False, name=None))
+        out: list[tuple] = []
+        for _, group in groupby(tuples, key=lambda row: row[at]):
+            for made in run(group):
+                out.append(made)
+                if len(out) >= flush:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, F.desc(order) if descending else order).mapInPandas(work, schema)

@@ -126,12 +126,17 @@ def majority_value(rows: DataFrame, keys: list[str], vote: str, value: str, orde
 
 
 def bootstrap(rows: DataFrame, keys: list[str], value: str, n: int, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(keys, best_mean, best_std, worst_mean, worst_std) of seeded resamples of n with replacement, a hash an index."""
+    """(keys, best_mean, best_std, worst_mean, worst_std) of seeded resamples of n with replacement, a hash an index.
+
+    A group is a prompt's responses; its draws are arrays of its row, not copies of it.
+    """
     packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("x"))
-    sampled = packed.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    at = f"transform(sequence(1, {n}), i -> element_at(x, cast(1 + pmod(xxhash64({seed}, draw, i, {', '.join(keys)}), size(x)) as int)))"
-    one = sampled.select(*keys, F.expr(f"array_max({at})").alias("b"), F.expr(f"array_min({at})").alias("w"))
-    return one.groupBy(*keys).agg(F.avg("b").alias("best_mean"), F.stddev_pop("b").alias("best_std"), F.avg("w").alias("worst_mean"), F.stddev_pop("w").alias("worst_std"))
+    at = f"transform(sequence(1, {n}), i -> element_at(x, cast(1 + pmod(xxhash64({seed}, d, i, {', '.join(keys)}), size(x)) as int)))"
+    drawn = packed.select(*keys, F.expr(f"transform(sequence(1, {draws}), d -> {at})").alias("s")).select(*keys, F.expr("transform(s, v -> array_max(v))").alias("b"), F.expr("transform(s, v -> array_min(v))").alias("w"))
+    mean = lambda c: f"aggregate({c}, 0.0D, (a, v) -> a + v) / {draws}"
+    first = drawn.withColumns({"best_mean": F.expr(mean("b")), "worst_mean": F.expr(mean("w"))})
+    std = lambda c, m: F.expr(f"sqrt(aggregate({c}, 0.0D, (a, v) -> a + (v - {m}) * (v - {m})) / {draws})")
+    return first.select(*keys, "best_mean", std("b", "best_mean").alias("best_std"), "worst_mean", std("w", "worst_mean").alias("worst_std"))
 
 
 def validation_core(metrics: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .aggregates import EPS, loss_mean, masked_mean
-from .ordering import seeded_key
+from .ordering import global_row_index, seeded_key
 
 LOSSES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -129,7 +129,8 @@ def kl_cov(tokens: DataFrame, key: str = "token_id", ratio: float = 0.0002, coef
     """The share ``ratio`` of valid tokens of highest covariance (ties: smallest key) gets coef x |log ratio| on top."""
     r = _log_ratio(False)
     rows = _covariance(tokens)
-    top = rows.where("mask > 0").orderBy(F.desc("cov"), key).limit(_count(tokens, ratio)).select(key, F.lit(1.0).alias("_top"))
+    ranked = global_row_index(rows.where("mask > 0").select(key, (-F.col("cov")).alias("_order")), ["_order", key])
+    top = ranked.where(F.col("row_idx") < _count(tokens, ratio)).select(key, F.lit(1.0).alias("_top"))
     plain = -F.col("advantage") * F.exp(r)
     return rows.join(top, key, "left").withColumns({"loss": plain + F.coalesce("_top", F.lit(0.0)) * coef * F.abs(r), "kl": F.abs(r)}).drop("_top", "cov")
 
@@ -141,7 +142,8 @@ def clip_cov(tokens: DataFrame, key: str = "token_id", ratio: float = 0.0002, lo
     plain, held = -F.col("advantage") * F.exp(r), -F.col("advantage") * clamp(F.exp(r), 1 - low, 1 + high)
     rows = _covariance(tokens).withColumns({"_plain": plain, "_held": held})
     inside = rows.where((F.col("mask") > 0) & ~(F.col("_held") > F.col("_plain")) & (F.col("cov") > band[0]) & (F.col("cov") < band[1]))
-    drop = inside.orderBy(seeded_key(seed, key), key).limit(_count(tokens, ratio)).select(key, F.lit(0.0).alias("_keep"))
+    ranked = global_row_index(inside.select(key, seeded_key(seed, key).alias("_order")), ["_order", key])
+    drop = ranked.where(F.col("row_idx") < _count(tokens, ratio)).select(key, F.lit(0.0).alias("_keep"))
     keep = F.coalesce("_keep", F.lit(1.0))
     return rows.join(drop, key, "left").withColumns({"loss": F.greatest("_plain", "_held") * keep, "clipped": 1 - keep, "clipped_low": F.lit(0.0), "kl": -r}).drop("_keep", "_plain", "_held", "cov")
 
@@ -243,7 +245,10 @@ def learning_rate(step: Column, kind: str, warmup: int, total: int, floor: float
 
 
 def adaptive_kl(steps: DataFrame, start: float, target: float, horizon: float, order: str = "step", group: str | None = None) -> DataFrame:
-    """``coef`` after each step: start x product of 1 + clip(kl / target - 1, 0.2) n / horizon (a running sum of logs)."""
+    """``coef`` after each step: start x product of 1 + clip(kl / target - 1, 0.2) n / horizon (a running sum of logs).
+
+    A row is a training step (of a ``group``, if there are several runs), so the window is as long as a training.
+    """
     w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     factor = 1 + clamp(F.col("kl") / target - 1, -0.2, 0.2) * F.col("n") / horizon
     return steps.withColumn("coef", F.lit(start) * F.exp(F.sum(F.log(factor)).over(w)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import parsing, records
-from millrace.operators import joins, ordering
-from millrace.session import shared_dir, table
+from millrace.operators import batches, joins, ordering
+from millrace.session import scratch, table
 from millrace.sources import artifacts, jsonl
 
 from .common import Book, rounded
@@ -31,14 +33,14 @@ def _samples(s: SparkSession, d: str) -> DataFrame:
 
 # --- records -------------------------------------------------------------------------------------------------------
 BOOK.add(
-    "f9_normalised_records",
+    "row9_normalised_records",
     lambda s, d: records.normalised(_samples(s, d)).select("sample_id", "image_path", "text", "label", "source", "language", F.col("reference_reasoning.explanation").alias("explanation"), "error"),
     f"""WITH n AS (SELECT {or_null_sql("sample_id")} AS sample_id, {or_null_sql("image_path")} AS image_path, text, {label_a("label")} AS label,
       {or_null_sql("source")} AS source, {or_null_sql("language")} AS language, reference_reasoning.explanation AS explanation FROM samples)
     SELECT *, CASE WHEN {or_null_sql("text")} IS NULL THEN 'text is empty' WHEN label IS NULL THEN 'label is unknown' WHEN image_path IS NULL THEN 'image path is empty' END AS error FROM n""",
 )
 BOOK.add(
-    "f13_reasoning_errors",
+    "row13_reasoning_errors",
     lambda s, d: table(s, d, "predictions").select("prediction_no", F.coalesce(records.reasoning_error("analysis", records.label_rule_a("gold_label")), F.lit("none")).alias("error")),
     "SELECT prediction_no, CASE WHEN analysis IS NULL THEN 'no reasoning' "
     + "".join(f"WHEN analysis.{f} IS NULL OR {strip_sql(f'analysis.{f}')} = '' THEN '{f} must be a non-empty string' " for f in records.FIELDS)
@@ -152,7 +154,7 @@ BOOK.add(
 
 def s1_jsonl_round_trip(s: SparkSession, d: str) -> DataFrame:
     """events.props written as JSON Lines with sorted keys and scanned back strictly."""
-    home = f"{shared_dir(s)}/lines-{s.sparkContext.applicationId}-{id(s)}"
+    home = f"{scratch(s)}/lines-{uuid.uuid4().hex}"
     rows = table(s, d, "events").select("event_id", "user_id", "event_type", "props")
     jsonl.write_lines(rows, home, "overwrite")
     schema = rows.schema
@@ -175,7 +177,7 @@ BOOK.add(
     FROM candidates WHERE source_sample_id IS NOT NULL""",
 )
 BOOK.add(
-    "z0_first_valid_attempt",
+    "cp1_first_valid_attempt",
     lambda s, d: artifacts.first_valid_attempt(table(s, d, "predictions").select("sample_id", "prediction_no", F.coalesce("json_valid", F.lit(False)).alias("valid")).where("sample_id is not null"), "sample_id", "prediction_no", "valid"),
     """SELECT sample_id, prediction_no, coalesce(json_valid, false) AS valid FROM predictions WHERE sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id
     ORDER BY coalesce(json_valid, false) DESC, CASE WHEN coalesce(json_valid, false) THEN prediction_no ELSE -prediction_no END) = 1""",
@@ -188,7 +190,7 @@ BOOK.add(
 
 
 def _overwritten(s: SparkSession, rows: DataFrame) -> DataFrame:
-    home = f"{shared_dir(s)}/whole-{s.sparkContext.applicationId}"
+    home = f"{scratch(s)}/whole-{uuid.uuid4().hex}"
     jsonl.overwrite_whole(rows.limit(0), home)
     jsonl.overwrite_whole(rows, home)
     return s.read.parquet(home)
@@ -239,6 +241,13 @@ BOOK.add(
     lambda s, d: rounded(joins.final_to_session(table(s, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", "final").select("user_id", "event_id", "final"), "final"),
     "SELECT user_id, event_id, R(first_value(value) OVER (PARTITION BY user_id ORDER BY event_id DESC)) AS final FROM events",
 )
+
+
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_orderkey", "o_custkey")
+
+
+_ORD = "o AS (SELECT o_orderkey AS row_idx, o_orderkey, o_custkey FROM orders)"
 # --- order, sampling, batches --------------------------------------------------------------------------------------
 BOOK.add(
     "o_row_index",
@@ -254,14 +263,58 @@ BOOK.add(
     FROM samples WHERE source IS NOT NULL) SELECT r.line_no, r.source, r.split, selection_index FROM r JOIN q ON r.source = q.source AND r.split = q.split WHERE selection_index <= quota""",
 )
 BOOK.add("o7_resample", lambda s, d: ordering.resample(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", F.col("o_totalprice") ** 2, 1000).select("draw", "o_orderkey"))
+BOOK.add(
+    "o6_pairwise_groups",
+    lambda s, d: ordering.pairwise_groups(_samples(s, d).select("line_no", F.lower(records.strip("source")).alias("source")), "line_no", "source").select("group", "line_no", F.col("place").cast("long").alias("place")),
+    f"""WITH r AS (SELECT line_no, lower({strip_sql("source")}) AS source, row_number() OVER (ORDER BY md5('42:' || line_no), line_no) - 1 AS place FROM samples
+    ), g AS (SELECT * FROM (VALUES ('mmsd2_docmsu', 'mmsd2'), ('mmsd2_docmsu', 'docmsu'), ('mmsd2_sarcnet', 'mmsd2'), ('mmsd2_sarcnet', 'sarcnet'), ('docmsu_sarcnet', 'docmsu'), ('docmsu_sarcnet', 'sarcnet')) t("group", source))
+    SELECT "group", line_no, place FROM r JOIN g ON r.source = g.source""",
+)
+BOOK.add(
+    "o8_sampler_batches",
+    lambda s, d: batches.sampler(_indexed(s, d), "row_idx", 256).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("total")),
+    f"WITH {_ORD}, n AS (SELECT count(*) AS n FROM o) SELECT row_idx // 256 AS batch, count(*) AS rows, sum(o_orderkey)::BIGINT AS total FROM o, n WHERE row_idx < n - n % 256 GROUP BY 1",
+)
+BOOK.add(
+    "o12_generation_sample",
+    lambda s, d: batches.generation_sample(table(s, d, "predictions").where("raw_output is not null").select("prediction_no", F.concat("prediction_no", F.lit(":"), "raw_output").alias("input")), "input", 50).select("prediction_no"),
+    "SELECT prediction_no FROM predictions WHERE raw_output IS NOT NULL ORDER BY md5('42:' || prediction_no || ':' || raw_output), prediction_no || ':' || raw_output LIMIT 50",
+)
+BOOK.add(
+    "u8_fold_unfold",
+    lambda s, d: batches.unfold(batches.fold(table(s, d, "lineitem").select(F.col("l_orderkey"), "l_linenumber", "l_partkey", "l_quantity").groupBy("l_partkey").agg(F.sum("l_quantity").alias("q")).select((F.col("l_partkey") - 1).alias("at"), "q").where("at < 160"), "at", 10, 16)).select("at", F.round("q", 4).alias("q")),
+    "SELECT l_partkey - 1 AS at, round(sum(l_quantity), 4) AS q FROM lineitem WHERE l_partkey <= 160 GROUP BY 1",
+)
+BOOK.add(
+    "u11_pad_by_edge",
+    lambda s, d: batches.pad_rows(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("at"), "n_name"), "at", 7, "last"),
+    "SELECT n_nationkey::BIGINT AS at, n_name, false AS is_pad FROM nation UNION ALL SELECT n_nationkey + i, n_name, true FROM nation, range(1, 8) t(i) WHERE n_nationkey = (SELECT max(n_nationkey) FROM nation)",
+)
+BOOK.add(
+    "a40_rows_to_lists",
+    lambda s, d: batches.as_lists(table(s, d, "nation"), ["n_regionkey"], "n_nationkey", ["n_nationkey", "n_name"]),
+    "SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS n_nationkey, list(n_name ORDER BY n_nationkey) AS n_name FROM nation GROUP BY 1",
+)
+BOOK.add(
+    "t3_epochs",
+    lambda s, d: batches.epochs(table(s, d, "supplier").select((F.col("s_suppkey") - 1).alias("row_idx")), "row_idx", 3).select("row_idx", "epoch", F.col("global_step").cast("long").alias("global_step")),
+    "SELECT s_suppkey - 1 AS row_idx, e::INT AS epoch, e * (SELECT count(*) FROM supplier) + s_suppkey - 1 AS global_step FROM supplier, range(3) t(e)",
+)
+BOOK.add(
+    "t10_version_metrics",
+    lambda s, d: batches.version_metrics(table(s, d, "events").select(F.floor(F.col("event_id") / 500).alias("current"), (F.floor(F.col("event_id") / 500) - F.col("user_id") % 3).alias("made")), "made", "current"),
+    """WITH p AS (SELECT event_id // 500 AS current, count(*) AS trajectories, count(*) FILTER (user_id % 3 >= 1) AS stale FROM events GROUP BY 1)
+    SELECT current, trajectories, stale, sum(stale) OVER (ORDER BY current)::BIGINT AS stale_so_far FROM p""",
+)
+BOOK.add(
+    "a43_pilot_summary",
+    lambda s, d: batches.pilot_summary(table(s, d, "predictions").select("raw_output", "attempts"), F.coalesce(parsing.output_error("raw_output").isNull(), F.lit(False)), F.lit(0.25), F.col("attempts").cast("double")).select("rollout_samples", "rollout_json_valid", "rollout_valid", "distillation_loss", "scores_finite", "kl_finite"),
+    f"""WITH b AS (SELECT raw_output, attempts, CASE WHEN NOT (contains(raw_output, '<think>') AND NOT contains(raw_output, '</think>')) THEN {strip_sql("list_last(string_split(raw_output, '</think>'))")} END AS body FROM predictions
+    ), v AS (SELECT attempts, coalesce(body <> '' AND NOT contains(body, '```') AND starts_with(body, '{{') AND ends_with(body, '}}') AND json_valid(body), false) AS ok FROM b)
+    SELECT count(*) AS rollout_samples, count(*) FILTER (ok) AS rollout_json_valid, bool_and(ok) AS rollout_valid, 0.25::DOUBLE AS distillation_loss, bool_and(attempts IS NOT NULL) AS scores_finite, bool_and(attempts IS NOT NULL) AS kl_finite FROM v""",
+)
 
-
-def _indexed(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_orderkey", "o_custkey")
-
-
-_ORD = "o AS (SELECT o_orderkey AS row_idx, o_orderkey, o_custkey FROM orders)"
-BOOK.add("b5_slice", lambda s, d: ordering.slice_rows(_indexed(s, d), 10, 9000, 7), f"WITH {_ORD} SELECT * FROM o WHERE row_idx >= 10 AND (row_idx - 10) % 7 = 0 AND row_idx < 9000")
+BOOK.add("row5_slice", lambda s, d: ordering.slice_rows(_indexed(s, d), 10, 9000, 7), f"WITH {_ORD} SELECT * FROM o WHERE row_idx >= 10 AND (row_idx - 10) % 7 = 0 AND row_idx < 9000")
 BOOK.add(
     "u5_repeat_interleave",
     lambda s, d: ordering.repeat_rows(_indexed(s, d), 3).select("o_orderkey", "copy", F.col("out_idx").cast("long").alias("out_idx")),

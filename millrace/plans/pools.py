@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import parsing, scorers
 from millrace.operators import balance, pool
-from millrace.session import shared_dir, table
+from millrace.session import scratch, table
 from millrace.streaming import queues
 
 from .common import Book, rounded
@@ -42,10 +42,30 @@ BOOK.add(
 )
 BOOK.add("k3_pool_fold", lambda s, d: pool.fold(actions(s, d), capacity=6, drop_inactive_targets=True))
 BOOK.add("k7_pool_export", lambda s, d: pool.ranked(pool.fold(actions(s, d), capacity=6, drop_inactive_targets=True)).select("pool", "place", "id", "active", "importance"))
+def _damaged(s: SparkSession, d: str) -> DataFrame:
+    """The log with one row in seven made wrong: label, target, texts or action."""
+    n = F.col("seq") % 7
+    return actions(s, d).withColumns({
+        "candidate_label": F.when((n == 0) & (F.col("seq") % 2 == 0), "ironic").when(n == 0, "non-sarcastic").otherwise(F.col("candidate_label")),
+        "target_id": F.when(n == 1, F.lit(None).cast("string")).otherwise(F.col("target_id")),
+        "mechanism": F.when(n == 2, F.lit(None).cast("string")).otherwise(F.col("mechanism")),
+        "action": F.when((n == 3) & (F.col("seq") % 3 == 0), "VOTE").otherwise(F.col("action")),
+        "modification_scope": F.when(n == 4, "FULL").otherwise(F.col("modification_scope")),
+    })
+
+
 BOOK.add(
     "k1_action_errors",
-    lambda s, d: actions(s, d).withColumn("error", F.coalesce(pool.action_error(), F.lit("none"))).groupBy("action", "error").count(),
-    f"WITH {_ACT} SELECT action, 'none' AS error, count(*) AS count FROM act GROUP BY ALL",
+    lambda s, d: _damaged(s, d).withColumn("error", F.coalesce(pool.action_error(), F.lit("none"))).groupBy("action", "error").count(),
+    f"""WITH {_ACT}, x AS (SELECT seq, CASE WHEN seq % 7 = 3 AND seq % 3 = 0 THEN 'VOTE' ELSE action END AS action,
+      CASE WHEN seq % 7 = 0 AND seq % 2 = 0 THEN 'ironic' WHEN seq % 7 = 0 THEN 'non-sarcastic' WHEN action IN ('ADD', 'UPVOTE', 'MODIFY') THEN 'sarcastic' ELSE 'non-sarcastic' END AS label,
+      seq % 7 <> 1 AND action NOT IN ('ADD', 'SKIP') AS has_target, seq % 7 <> 2 AND action = 'ADD' AS has_mechanism, action IN ('ADD', 'MODIFY') AS has_boundary,
+      CASE WHEN seq % 7 = 4 THEN 'FULL' WHEN action = 'MODIFY' THEN 'BOUNDARY' END AS scope FROM act
+    ), e AS (SELECT action, CASE WHEN label NOT IN ('sarcastic', 'non-sarcastic') THEN 'unknown label'
+      WHEN label = 'sarcastic' AND action NOT IN ('ADD', 'MODIFY', 'UPVOTE', 'SKIP') THEN 'action is not legal for sarcastic' WHEN label = 'non-sarcastic' AND action NOT IN ('MODIFY', 'UPVOTE', 'DOWNVOTE', 'SKIP') THEN 'action is not legal for non-sarcastic'
+      WHEN action IN ('MODIFY', 'UPVOTE', 'DOWNVOTE') AND NOT has_target THEN 'target is missing' WHEN action = 'ADD' AND NOT (has_mechanism AND has_boundary) THEN 'texts are missing'
+      WHEN action = 'MODIFY' AND scope <> 'BOUNDARY' AND NOT has_mechanism THEN 'mechanism is missing' ELSE 'none' END AS error FROM x)
+    SELECT action, error, count(*) AS count FROM e GROUP BY ALL""",
 )
 BOOK.add(
     "a41_action_counts",
@@ -84,11 +104,21 @@ BOOK.add(
     """WITH r AS (SELECT o_orderkey, (o_custkey % 1000)::VARCHAR AS n FROM orders), t AS (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'so we get ' || n || ' #### ' || n WHEN 1 THEN '#### 1,' || n ELSE 'about ' || n END AS x FROM r
     ), a AS (SELECT *, replace(regexp_extract(right(x, 300), '.*#### (-?[0-9.,]+)', 1), ',', '') AS a FROM t) SELECT o_orderkey, (CASE WHEN a = '' THEN 0.0 WHEN a = n THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM a""",
 )
+
+
+def _answer() -> Column:
+    return F.concat(F.when(F.col("p_partkey") % 5 == 0, F.lit("no tags ")).otherwise(F.concat(F.repeat(F.lit("<answer>x</answer>"), F.when(F.col("p_partkey") % 4 == 0, 11).otherwise(0)), F.lit("<answer> The "))), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.col("p_name")), F.lit("! </answer>"))
+
+
 BOOK.add(
     "c3_qa_exact",
-    lambda s, d: table(s, d, "part").select("p_partkey", scorers.qa_match(F.concat(F.lit("<answer> The "), "p_name", F.lit("! </answer>")), F.array(F.lower("p_name"), F.col("p_brand"))).alias("exact"),
-        scorers.qa_match(F.concat(F.lit("<answer>It is "), "p_name", F.lit(" now</answer>")), F.array("p_name"), inside=True).alias("inside")),
-    "SELECT p_partkey, 1::DOUBLE AS exact, 1::DOUBLE AS inside FROM part",
+    lambda s, d: table(s, d, "part").select("p_partkey", scorers.qa_match(_answer(), F.array(F.lower("p_name"), F.col("p_brand"))).alias("exact"),
+        scorers.qa_match(F.concat(F.lit("<answer>It is "), "p_name", F.lit(" now</answer>")), F.array(F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")).otherwise(F.col("p_name"))), inside=True).alias("inside")),
+    r"""WITH f AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END), '[[:punct:]]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS said,
+      trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[[:punct:]]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS name, trim(regexp_replace(lower(p_brand), '[[:punct:]]', '', 'g')) AS brand,
+      trim(regexp_replace(regexp_replace(regexp_replace(lower(p_type), '[[:punct:]]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS kind FROM part)
+    SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR said NOT IN (name, brand) THEN 0.0 WHEN p_partkey % 4 = 0 THEN 0.25 ELSE 1.0 END::DOUBLE AS exact,
+      contains('it is ' || name || ' now', CASE WHEN p_partkey % 7 = 0 THEN kind ELSE name END)::INT::DOUBLE AS inside FROM f""",
 )
 BOOK.add(
     "c5_medmcqa",
@@ -107,8 +137,35 @@ BOOK.add(
     ), s AS (SELECT a.p_partkey, sum(least(a.n, b.n)) AS s FROM a JOIN b ON a.p_partkey = b.p_partkey AND a.w = b.w GROUP BY 1)
     SELECT p.p_partkey, R(coalesce(s, 0) / (len(string_split(p_name, ' ')) + len(string_split(p_type, ' ')) - coalesce(s, 0))) AS score FROM part p LEFT JOIN s ON p.p_partkey = s.p_partkey""",
 )
-BOOK.add("c7_math_boxed", lambda s, d: table(s, d, "orders").select("o_orderkey", scorers.math_boxed(F.concat(F.lit(r"thus \boxed{\dfrac{1}{"), (F.col("o_custkey") % 9).cast("string"), F.lit("}}")), F.concat(F.lit("1/"), (F.col("o_orderkey") % 9).cast("string"))).alias("score")))
-BOOK.add("c4_countdown", lambda s, d: table(s, d, "orders").select("o_orderkey", scorers.countdown(F.concat(F.lit("<answer>"), (F.col("o_orderkey") % 10).cast("string"), F.lit(" + 3 * 4</answer>")), F.array((F.col("o_orderkey") % 10).cast("long"), F.lit(3).cast("long"), F.lit(4).cast("long")), (F.col("o_custkey") % 30).cast("double")).alias("r")).select("o_orderkey", "r.score", "r.acc", "r.pred"))
+
+
+def _one() -> Column:
+    return F.when(F.col("o_custkey") % 4 == 0, F.concat(F.lit(r"so \boxed{\frac1{"), (F.col("o_custkey") % 9 + 1).cast("string"), F.lit("}}"))).when(F.col("o_custkey") % 4 == 1, F.concat(F.lit(r"\boxed{x} thus \boxed{\dfrac{1}{"), (F.col("o_custkey") % 9 + 1).cast("string"), F.lit("}}"))).when(
+    F.col("o_custkey") % 4 == 2, F.concat(F.lit(r"\boxed{1/"), (F.col("o_custkey") % 9 + 1).cast("string"), F.lit("}"))).otherwise(F.lit(r"\boxed{never closed"))
+
+
+BOOK.add(
+    "c7_math_boxed",
+    lambda s, d: table(s, d, "orders").select("o_orderkey", scorers.math_boxed(_one(), F.concat(F.lit("1/"), (F.col("o_orderkey") % 9 + 1).cast("string"))).alias("score")),
+    "SELECT o_orderkey, (o_custkey % 4 < 3 AND o_custkey % 9 = o_orderkey % 9)::INT::DOUBLE AS score FROM orders",
+)
+
+
+def _k() -> Column:
+    return (F.col("o_orderkey") % 10).cast("string")
+
+
+def _sum() -> Column:
+    return F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("so \\boxed{"), _k(), F.lit(" + 3 * 4}"))).when(F.col("o_orderkey") % 4 == 1, F.concat(_k(), F.lit(" / 3 * 4 "))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("\\boxed{"), _k(), F.lit(" + 3}"))).otherwise(F.concat(F.lit("-"), _k(), F.lit(" + 3 * 4")))
+
+
+BOOK.add(
+    "c4_countdown",
+    lambda s, d: table(s, d, "orders").select("o_orderkey", scorers.countdown(_sum(), F.array((F.col("o_orderkey") % 10).cast("long"), F.lit(3).cast("long"), F.lit(4).cast("long")), (F.col("o_custkey") % 30).cast("long")).alias("r")).select("o_orderkey", "r.score", "r.acc", "r.pred"),
+    """WITH k AS (SELECT o_orderkey, o_orderkey % 10 AS k, o_orderkey % 4 AS w, o_custkey % 30 AS target FROM orders
+    ), a AS (SELECT o_orderkey, CASE w WHEN 0 THEN k + 12 = target WHEN 1 THEN k % 3 = 0 AND k // 3 * 4 = target ELSE false END AS acc, CASE w WHEN 0 THEN k || ' + 3 * 4' WHEN 1 THEN k || ' / 3 * 4' WHEN 2 THEN k || ' + 3' ELSE '-' || k || ' + 3 * 4' END AS pred FROM k)
+    SELECT o_orderkey, CASE WHEN acc THEN 1.0 ELSE -1.0 END::DOUBLE AS score, acc, pred FROM a""",
+)
 
 
 def _matches(s: SparkSession, d: str) -> DataFrame:
@@ -116,17 +173,35 @@ def _matches(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_type", F.col("event_id").alias("seq"), (F.col("event_id") % 12).alias("a"), ((F.col("event_id") + 1 + F.col("user_id") % 10) % 12).alias("b"), (F.col("value") > 50).cast("double").alias("result"))
 
 
-BOOK.add("c13_elo", lambda s, d: rounded(scorers.elo(_matches(s, d), "event_type"), "elo", "reward"))
+BOOK.add(
+    "c13_elo",
+    lambda s, d: rounded(scorers.elo(_matches(s, d), "event_type"), "elo", "reward"),
+    """WITH RECURSIVE m AS (SELECT event_type, (event_id % 12)::INT AS a, ((event_id + 1 + user_id % 10) % 12)::INT AS b, (value > 50)::INT::DOUBLE AS r, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events
+    ), f AS (SELECT event_type, 0::BIGINT AS n, [1000.0::DOUBLE FOR x IN range(12)] AS e UNION ALL
+      SELECT m.event_type, m.n, [CASE WHEN x = m.a AND x = m.b THEN f.e[x + 1] - 32 * (m.r - 1 / (1 + pow(10, (f.e[m.b + 1] - f.e[m.a + 1]) / 400))) WHEN x = m.a THEN f.e[x + 1] + 32 * (m.r - 1 / (1 + pow(10, (f.e[m.b + 1] - f.e[m.a + 1]) / 400)))
+        WHEN x = m.b THEN f.e[x + 1] - 32 * (m.r - 1 / (1 + pow(10, (f.e[m.b + 1] - f.e[m.a + 1]) / 400))) ELSE f.e[x + 1] END FOR x IN range(12)] FROM f JOIN m ON m.event_type = f.event_type AND m.n = f.n + 1
+    ), l AS (SELECT event_type, max(n) AS n FROM m GROUP BY 1), p AS (SELECT DISTINCT event_type, unnest([a, b]) AS player FROM m)
+    SELECT p.event_type, p.player::BIGINT AS player, R(e[p.player + 1]) AS elo, R((e[p.player + 1] - 1000) / 200 + 0.5) AS reward FROM l JOIN f ON f.event_type = l.event_type AND f.n = l.n JOIN p ON p.event_type = l.event_type""".replace(
+        "SELECT event_type, 0::BIGINT AS n, [1000.0::DOUBLE FOR x IN range(12)] AS e UNION", "SELECT DISTINCT event_type, 0::BIGINT AS n, [1000.0::DOUBLE FOR x IN range(12)] AS e FROM events UNION"
+    ),
+)
 BOOK.add(
     "c13_win_rates",
     lambda s, d: rounded(scorers.win_rates(_matches(s, d), "event_type"), "score"),
     """WITH m AS (SELECT event_type, event_id % 12 AS a, (event_id + 1 + user_id % 10) % 12 AS b, (value > 50)::INT AS r FROM events)
     SELECT event_type, player, count(*) AS games, R(avg(s)) AS score FROM (SELECT event_type, a AS player, r AS s FROM m UNION ALL SELECT event_type, b, 1 - r FROM m) GROUP BY ALL""",
 )
+
+
+def _call() -> Column:
+    return F.when(F.col("event_id") % 5 == 0, "no call").when(F.col("event_id") % 5 == 1, F.concat(F.lit("<tool_call>not json</tool_call>"), F.lit('<tool_call>{"name": "'), "event_type", F.lit('", "arguments": '), "props", F.lit("}</tool_call>"))).when(
+    F.col("event_id") % 5 == 2, F.concat(F.lit('<tool_call>{"name": "look"}</tool_call>'))).otherwise(F.concat(F.repeat(F.concat(F.lit('<tool_call>{"name": "look", "arguments": '), "props", F.lit("}</tool_call>")), (F.col("event_id") % 5 - 1).cast("int"))))
+
+
 BOOK.add(
     "f24_tool_calls",
-    lambda s, d: table(s, d, "events").select("event_id", parsing.tool_calls(F.concat(F.lit('<tool_call>{"name": "look", "arguments": '), "props", F.lit("}</tool_call> and <tool_call>{}</tool_call>"))).alias("c")).select("event_id", F.size("c").alias("calls"), F.col("c")[0]["name"].alias("name")),
-    "SELECT event_id, 1 AS calls, 'look' AS name FROM events",
+    lambda s, d: table(s, d, "events").select("event_id", parsing.tool_calls(_call()).alias("c")).select("event_id", F.size("c").alias("calls"), F.try_element_at("c", F.lit(1))["name"].alias("name")),
+    "SELECT event_id, CASE event_id % 5 WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 0 END AS calls, CASE event_id % 5 WHEN 1 THEN event_type WHEN 3 THEN 'look' WHEN 4 THEN 'look' END AS name FROM events",
 )
 # --- streams ---------------------------------------------------------------------------------------------------------
 
@@ -161,11 +236,18 @@ BOOK.add(
     """WITH l AS (SELECT event_id % 50 AS partition, user_id AS key, event_id % 211 = 0 AS running FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 50, user_id ORDER BY event_id DESC) = 1)
     SELECT partition, key FROM l WHERE partition NOT IN (SELECT partition FROM l WHERE running)""",
 )
-BOOK.add("t11_token_bucket", lambda s, d: rounded(queues.token_bucket(table(s, d, "events").select("event_type", "event_id", (F.col("event_id") / 10).alias("at"), "value"), "event_type", "event_id", "at", "value", 40.0, 200.0), "wait"))
+BOOK.add(
+    "t11_token_bucket",
+    lambda s, d: rounded(queues.token_bucket(table(s, d, "events").select("event_type", "event_id", (F.col("event_id") / 10).alias("at"), "value"), "event_type", "event_id", "at", "value", 40.0, 200.0), "wait"),
+    """WITH RECURSIVE e AS (SELECT event_type, event_id, event_id / 10 AS moment, value::DOUBLE AS c, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events
+    ), f AS (SELECT event_type, event_id, n, moment AS t, greatest(least(c, 200) - 200.0, 0.0) / 40 AS wait, 200.0 - c AS level FROM e WHERE n = 1 UNION ALL
+      SELECT e.event_type, e.event_id, e.n, greatest(e.moment, f.t), greatest(least(e.c, 200) - least(200.0, f.level + greatest(e.moment - f.t, 0) * 40), 0.0) / 40, least(200.0, f.level + greatest(e.moment - f.t, 0) * 40) - e.c FROM f JOIN e ON e.event_type = f.event_type AND e.n = f.n + 1)
+    SELECT event_type, event_id, R(wait) AS wait FROM f""",
+)
 
 
 def _as_stream(s: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
-    home = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    home = f"{scratch(s)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{home}/in")
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     return queues.stream_files(s, f"{home}/in", schema, 4), home
@@ -173,7 +255,7 @@ def _as_stream(s: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
 
 def t7_count_batches(s: SparkSession, d: str) -> DataFrame:
     """Count-triggered batches of each event type through Structured Streaming, state kept across triggers."""
-    stream, home = _as_stream(s, table(s, d, "events").select("event_type", F.col("event_id").alias("seq")).coalesce(1))
+    stream, home = _as_stream(s, table(s, d, "events").select("event_type", F.col("event_id").alias("seq")).repartitionByRange(4, "seq"))
     return queues.run_available(queues.count_batches_stream(stream, "event_type", 64), f"{home}/out", f"{home}/checkpoint")
 
 
@@ -185,18 +267,16 @@ BOOK.add(
 )
 
 
-def t10_event_time_windows(s: SparkSession, d: str) -> DataFrame:
+def event_time_windows(s: SparkSession, d: str) -> DataFrame:
     """Tumbling event-time windows with a watermark (an extension); complete output of one run over what is there."""
     stream, home = _as_stream(s, table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"))
-    name = f"w{uuid.uuid4().hex}"
-    query = queues.windowed_metrics(stream, "1 hour", "10 minutes").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return s.table(name).groupBy("event_type").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+    windows = queues.run_updates(queues.windowed_metrics(stream, "1 hour", "10 minutes"), f"{home}/out", f"{home}/checkpoint", ["start", "event_type"], "n")
+    return windows.groupBy("event_type").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
 BOOK.add(
-    "t10_event_time_windows",
-    t10_event_time_windows,
+    "x_event_time_windows",
+    event_time_windows,
     "SELECT event_type, count(DISTINCT date_trunc('hour', ts)) AS windows, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
 )
 QUERIES, SQL = BOOK.queries, BOOK.sql

@@ -1,7 +1,7 @@
 """Rollout streams: bounded queues, count-triggered batches, staleness, replay buffers and token buckets.
 
 The rules are given on tables (so they can be checked in SQL) and as Structured Streaming where they need state. Order
-is the sequence number's. A queue's or batch's number of rows is a parameter, so a group is bounded by it.
+is the sequence number's. What depends on order is folded over sorted partitions row by row, with a state of fixed size.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from millrace.operators.grouped import streamed_rows
+
 
 def stream_files(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream; ``files_per_trigger`` is the back-pressure."""
@@ -27,6 +29,20 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> DataFrame:
+    """Run a stream of updated aggregates over what is there now: each trigger's updates become a folder of their own, and
+    the largest ``order`` of a key is its last state."""
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(path)
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("x")).select(*keys, "x.*")
+
+
 def count_batches(rows: DataFrame, size: int, row_idx: str = "row_idx", total: int | None = None) -> DataFrame:
     """``batch`` of each row by count; the last, partial batch is dropped once ``total`` is known."""
     out = rows.withColumn("batch", F.floor(F.col(row_idx) / size))
@@ -56,16 +72,20 @@ def count_batches_stream(stream: DataFrame, key: str, size: int) -> DataFrame:
 def bounded_queue(events: DataFrame, queue: str, order: str, capacity: int) -> DataFrame:
     """(queue, produced, consumed, dropped, left) of put and get events; a put into a full queue drops its oldest row.
 
-    The length after each event follows a clamped running sum, length = min(capacity, max(0, length + step)): composed
-    of monotone maps, it is folded inside the JVM over each queue's steps.
+    A queue's events stream past in order; its length and counts are all that is remembered.
     """
-    steps = events.groupBy(queue).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.when(F.col("op") == "put", 1).otherwise(-1).alias("s")))), lambda x: x["s"]).alias("steps"))
-    start = "named_struct('len', 0L, 'got', 0L, 'dropped', 0L)"
-    fold = f"""aggregate(steps, {start}, (a, s) -> if(s > 0,
-        named_struct('len', if(a.len = {capacity}, a.len, a.len + 1), 'got', a.got, 'dropped', a.dropped + if(a.len = {capacity}, 1L, 0L)),
-        named_struct('len', if(a.len = 0, 0L, a.len - 1), 'got', a.got + if(a.len = 0, 0L, 1L), 'dropped', a.dropped)))"""
-    done = steps.withColumn("q", F.expr(fold))
-    return done.select(queue, F.size(F.filter("steps", lambda s: s > 0)).cast("long").alias("produced"), F.col("q.got").alias("consumed"), F.col("q.dropped").alias("dropped"), F.col("q.len").alias("left"))
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        produced = got = dropped = held = 0
+        for name, _, put in rows:
+            if put:
+                produced, dropped, held = produced + 1, dropped + (held == capacity), min(held + 1, capacity)
+            else:
+                got, held = got + (held > 0), max(held - 1, 0)
+        yield name, produced, got, dropped, held
+
+    plain = events.select(queue, order, (F.col("op") == "put").alias("put"))
+    return streamed_rows(plain, queue, order, run, f"{queue} {dict(events.dtypes)[queue]}, produced long, consumed long, dropped long, left long")
 
 
 def newest(rows: DataFrame, queue: str, order: str, capacity: int) -> DataFrame:
@@ -105,11 +125,15 @@ def windowed_metrics(stream: DataFrame, width: str, late: str) -> DataFrame:
 
 def token_bucket(requests: DataFrame, key: str, order: str, at: str, cost: str, rate: float, capacity: float) -> DataFrame:
     """(key, order, wait): seconds each request waits. The bucket refills up to ``capacity``; a request larger than it
-    drives it below 0. Folded inside the JVM over each key's requests."""
-    packed = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(at).cast("double").alias("t"), F.col(cost).cast("double").alias("c")))).alias("x"))
-    level = f"least({capacity}D, a.level + greatest(r.t - a.t, 0.0D) * {rate}D)"
-    start = f"named_struct('level', {capacity}D, 't', element_at(x, 1).t, 'out', cast(array() as array<struct<o: bigint, wait: double>>))"
-    fold = f"""aggregate(x, {start}, (a, r) -> named_struct('level', {level} - r.c, 't', greatest(r.t, a.t),
-        'out', concat(a.out, array(named_struct('o', cast(r.o as bigint), 'wait', greatest(least(r.c, {capacity}D) - {level}, 0.0D) / {rate}D)))))"""
-    rows = packed.select(key, F.explode(F.expr(f"({fold}).out")).alias("w"))
-    return rows.select(key, F.col("w.o").alias(order), F.col("w.wait").alias("wait"))
+    drives it below 0. A key's requests stream past in order."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        level, last = capacity, None
+        for name, number, now, asked in rows:
+            last = now if last is None else last
+            level = min(capacity, level + max(now - last, 0.0) * rate)
+            yield name, number, max(min(asked, capacity) - level, 0.0) / rate
+            level, last = level - asked, max(now, last)
+
+    plain = requests.select(key, order, F.col(at).cast("double").alias("at"), F.col(cost).cast("double").alias("cost"))
+    return streamed_rows(plain, key, order, run, f"{key} {dict(requests.dtypes)[key]}, {order} {dict(requests.dtypes)[order]}, wait double")
