@@ -117,7 +117,7 @@ def rule_error(text: Column, max_words: int, prefix: str | None = None) -> Colum
 
 def composed(mechanism: Column, boundary: Column, max_words: int = 80) -> Column:
     """Mechanism and boundary as one rule; null when both together pass the cap."""
-    text = F.concat_ws(" ", strip(mechanism), strip(boundary))
+    text = strip(F.concat_ws(" ", strip(mechanism), strip(boundary)))
     return F.when((text != "") & (F.size(F.split(text, r"\s+")) <= max_words), text)
 
 
@@ -264,8 +264,3 @@ def _marked_calls(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 #: Ways in which models write tool calls: JSON in tags, channel messages, XML in tags, marked calls.
 TOOL_FORMS = {"hermes": _json_calls, "gpt-oss": _channel_calls, "qwen3_coder": lambda text: _xml_calls()(text), "gemma4": lambda text: _marked_calls(text)}
-
-
-def format_ok(text: Column) -> Column:
-    """Whether a response is think, then tool calls and/or a response block, each once and in that order."""
-    return text.rlike(r"(?s)^\s*<think>.*?</think>\s*(<tool_call>.*?</tool_call>\s*)*(<response>.*?</response>)?\s*$") & (F.regexp_count(text, F.lit("<think>")) == 1) & (F.regexp_count(text, F.lit("<response>")) <= 1) & text.rlike("<tool_call>|<response>")

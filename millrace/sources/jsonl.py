@@ -18,7 +18,7 @@ def scan_lines(spark: SparkSession, path: str, schema: StructType, strict: bool
     A line that is not one JSON object has an error, or raises with ``strict`` once it is used. Line numbers count blank
     lines and are exact for a single file (one split); over several files they order rows within each file.
     """
-    lines = spark.read.option("wholetext", False).text(path).withColumn("line_no", F.monotonically_increasing_id() + 1)
+    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id() + 1)
     return parse_lines(lines.select("line_no", F.col("value").alias("raw")), schema, strict)
 
 
@@ -42,7 +42,7 @@ def scan_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def scan_map(spark: SparkSession, path: str, value: DataType) -> DataFrame:
     """(key, value) of files that hold one JSON object used as a map."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", MapType(StringType(), value))).alias("key", "value"))
 
 
