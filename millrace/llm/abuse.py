@@ -23,7 +23,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +78,7 @@ def sentence_ids(text: str) -> list[list[int]]:
     for sentence in _ENDS.split(text):
         words = _WORD.findall(sentence)
         if words:
-            han = 2 * sum("\u2e80" <= w <= "\u9fff\uffff" for w in words) > len(words)
+            han = not sentence.isascii() and 2 * sum("\u2e80" <= w <= "\u9fff\uffff" for w in words) > len(words)
             out.append([-2, *map(_word_id, words)] if han else [*map(_word_id, words)])
     return out
 
@@ -206,6 +205,8 @@ class BlockMaxIndex:
         order = np.lexsort((rare[:, 1], rare[:, 0], ~abusive))  # abusive examples share blocks
         place = np.empty(len(terms), np.int64)
         place[order] = np.arange(len(terms))
+        #: Examples have numbers that no label changes; where each one is now, and which one is at a place.
+        self.place, self.number = place, order
         at, weight, self.count, self.hits, self.tie = at[order], weight[order], count[order], hits[order], mixed[order]
         by_example = np.argsort(place[held[0]], kind="stable")
         self.held_doc, self.held_truth = held[1][by_example], truth[first][by_example]
@@ -338,25 +339,33 @@ def score_documents(index: BlockMaxIndex, words: list[np.ndarray], own: np.ndarr
     return score, evidence, cosine
 
 
-def cleaned(index: BlockMaxIndex, words: list[np.ndarray], places: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For abusive documents: (place, votes of its windows, cosine of each one's nearest example elsewhere, whether what
-    is loosely like it is mostly harmless)."""
-    terms, owner = windows(words)
-    if not len(terms):
-        return []
-    at, weights = index.weights.of(terms)
-    window, found, cosines = index.search(at, weights, LOOSE, LOOSE_FLOOR)
-    me, size = places[owner], len(terms)
-    close = (cosines >= FLOOR) & (np.arange(len(window)) - np.searchsorted(window, window) < NEIGHBOURS)
-    votes = index.vote(window[close], found[close], cosines[close], size, me)
-    others = (index.count[found] > 1) | (index.held_doc[index.held[found]] != me[window])
-    window, found, cosines = window[others], found[others], cosines[others]
-    nearest, first = np.zeros(size), np.unique(window, return_index=True)
-    nearest[first[0]] = cosines[first[1]]
-    weight = np.bincount(window, weights=cosines**2, minlength=size)
-    abusive_share = np.bincount(window, weights=cosines**2 * index.labels[found], minlength=size) / np.maximum(weight, 1e-9)
-    harmless = (np.bincount(window, minlength=size) >= LEAST_LOOSE) & (abusive_share < LOOSE_SHARE)
-    return [(int(places[k]), votes[owner == k], nearest[owner == k], harmless[owner == k]) for k in range(len(words)) if (owner == k).any()]
+def neighbours(index: BlockMaxIndex, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(place, words) -> (place, windows, window, example, cosine): the loosely nearest examples of each window of a
+    document, by numbers that no label changes."""
+    for pdf in batches:
+        for place, words in zip(pdf["place"], pdf["words"], strict=True):
+            terms, _ = windows([words])
+            window, found, cosines = index.search(*index.weights.of(terms), LOOSE, LOOSE_FLOOR)
+            yield pd.DataFrame({"place": [place], "windows": [len(terms)], "window": [window], "example": [index.number[found]], "cosine": [cosines]})
+
+
+def cleaned(index: BlockMaxIndex, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(place, windows, window, example, cosine) -> (place, votes, nearest, harmless): the vote on each window of a labelled
+    document, the cosine of its nearest example elsewhere, and whether what is loosely like it is mostly harmless."""
+    for pdf in batches:
+        out = []
+        for place, size, window, example, cosines in pdf.itertuples(index=False):
+            window, found, me = np.asarray(window), index.place[np.asarray(example, np.int64)], np.full(size, place)
+            close = (cosines >= FLOOR) & (np.arange(len(window)) - np.searchsorted(window, window) < NEIGHBOURS)
+            votes = index.vote(window[close], found[close], cosines[close], size, me)
+            others = (index.count[found] > 1) | (index.held_doc[index.held[found]] != place)
+            window, found, cosines = window[others], found[others], cosines[others]
+            nearest, first = np.zeros(size), np.unique(window, return_index=True)
+            nearest[first[0]] = cosines[first[1]]
+            weight = np.bincount(window, weights=cosines**2, minlength=size)
+            abusive_share = np.bincount(window, weights=cosines**2 * index.labels[found], minlength=size) / np.maximum(weight, 1e-9)
+            out.append((place, votes, nearest, (np.bincount(window, minlength=size) >= LEAST_LOOSE) & (abusive_share < LOOSE_SHARE)))
+        yield pd.DataFrame(out, columns=["place", "votes", "nearest", "harmless"])
 
 
 def labelled_sample(labels: DataFrame, most_abusive: int = MOST_ABUSIVE, most_other: int = MOST_OTHER) -> DataFrame:
@@ -368,17 +377,6 @@ def labelled_sample(labels: DataFrame, most_abusive: int = MOST_ABUSIVE, most_ot
     return judged.where(F.expr("pmod(xxhash64(doc_id), 1000000) / 1000000.0") < rate).withColumn("stands_for", 1 / rate)
 
 
-def _voted(asked: DataFrame, shared: Broadcast) -> DataFrame:
-    """(place, votes, nearest, harmless) of each asked document's windows."""
-
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = cleaned(shared.value, pdf["words"].to_list(), pdf["place"].to_numpy())
-            yield pd.DataFrame(dict(zip(("place", "votes", "nearest", "harmless"), map(list, zip(*done, strict=True)), strict=True)) if done else {"place": [], "votes": [], "nearest": [], "harmless": []})
-
-    return asked.mapInPandas(clean, "place long, votes array<double>, nearest array<double>, harmless array<boolean>")
-
-
 def level_of(score: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, tuple[float, float, float] | None]:
     """(level, (F1, precision, recall) at it): the highest level whose F1 is within a quarter of a standard error of the best one.
 
@@ -417,13 +415,16 @@ def build(words: DataFrame, labels: DataFrame) -> tuple[BlockMaxIndex, float]:
     if not len(hot):
         return index, 0.5
     parts, edges = 2 * spark.sparkContext.defaultParallelism, np.searchsorted(owner, np.arange(len(sample) + 1))
+    first = spark.sparkContext.broadcast(index)  # bounded by the sample
     asked = spark.createDataFrame(hot, "place long, words array<int>").repartition(parts)
+    near = cut(asked.mapInPandas(lambda batches: neighbours(first.value, batches), "place long, windows int, window array<int>, example array<int>, cosine array<double>"))
     for level in SURE:
-        votes_of = _voted(asked, spark.sparkContext.broadcast(index))  # both bounded by the sample
+        now = spark.sparkContext.broadcast(index)
+        votes_of = near.mapInPandas(lambda batches, now=now: cleaned(now.value, batches), "place long, votes array<double>, nearest array<double>, harmless array<boolean>")
         truth = np.zeros(len(terms))
-        for row in votes_of.collect():
+        for row in votes_of.collect():  # bounded by the sample
             votes, nearest = np.array(row["votes"]), np.array(row["nearest"])
-            harmless = np.array(row["harmless"])
+            harmless = np.array(row["harmless"], bool)
             lone, sure = (nearest < UNLIKE) & ~harmless, (votes >= level) & ~harmless
             if not sure.any() and lone.any():
                 # what is least like anything elsewhere, with the windows that overlap it

@@ -138,7 +138,7 @@ APART = {c: (d[0], d[1:]) for c in set(MAPPING.values()) if len(c) == 1 and len(
 UNIT = re.compile(r"(?:(?<![A-Za-z0-9])[A-Za-z0-9]++|[<=>])?[^\x00-\x7f]++(?:(?:[A-Za-z0-9]++|[<=>])[^\x00-\x7f]++)*[A-Za-z0-9]*+")
 CLUSTER = regex.compile(r"\X")
 JOINED = regex.compile(r"\p{Extended_Pictographic}[\p{EMod}\ufe0f]*(?:\u200d\p{Extended_Pictographic}[\p{EMod}\ufe0f]*)+")
-CONTROLS = {ord(c): " " for c in BLANK_CONTROLS}
+CONTROLS = re.compile(f"[{BLANK_CONTROLS}]")
 
 
 def _syllables(text: str) -> str:
@@ -250,7 +250,7 @@ def canonical(text: str) -> str:
     """The one form of ``text``. Idempotent. Letter case, accents, punctuation and the number of blanks are kept."""
     if not text.isascii():
         text = UNIT.sub(_unit, text)
-    return text if text.isprintable() else text.translate(CONTROLS)
+    return text if text.isprintable() else CONTROLS.sub(" ", text)
 
 
 @F.pandas_udf(StringType())
