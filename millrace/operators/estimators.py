@@ -7,14 +7,16 @@ Estimators are found by name in :data:`ESTIMATORS`.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.session import cut
+
 from .aggregates import group_stats, whiten
-from .grouped import streamed_rows
+from .grouped import streamed_scan
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -175,34 +177,26 @@ def gae(tokens: DataFrame, gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
     ``advantage`` (whitened, unmasked) and ``ret`` (advantage before whitening plus value). Trajectories stream past from
     their last token to their first."""
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        later, carried = 0.0, 0.0
-        for traj, uid, pos, mask, reward, value in rows:
-            if mask:
-                carried, later = reward + gamma * later - value + gamma * lam * carried, value
-            yield traj, uid, pos, mask, carried, carried + value
+    def step(state: tuple, mask: int, reward: float, value: float) -> tuple:
+        return (reward + gamma * state[1] - value + gamma * lam * state[0], value) if mask else state
 
-    kind = dict(tokens.dtypes)
     plain = tokens.select("traj_id", "uid", "pos", F.col("mask").cast("int").alias("mask"), F.col("reward").cast("double").alias("reward"), F.col("value").cast("double").alias("value"))
-    flat = streamed_rows(plain, "traj_id", "pos", run, f"traj_id {kind['traj_id']}, uid {kind['uid']}, pos {kind['pos']}, mask int, adv double, ret double", descending=True)
-    return whiten(flat, "adv", "mask", "advantage").select("traj_id", "uid", "pos", "advantage", "ret")
+    flat = streamed_scan(plain, "traj_id", "pos", ["mask", "reward", "value"], (0.0, 0.0), step, "adv", descending=True).withColumn("ret", F.col("adv") + F.col("value"))
+    # written once: whitening reads it for the statistics and again for the rows
+    return whiten(cut(flat), "adv", "mask", "advantage").select("traj_id", "uid", "pos", "advantage", "ret")
 
 
 @estimator("reinforce_plus_plus")
 def reinforce_pp(tokens: DataFrame, gamma: float = 0.9) -> DataFrame:
     """Discounted return, reset after masked tokens, whitened on valid ones. Token rows with ``advantage`` and ``ret``."""
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        later = 0.0
-        for traj, uid, pos, mask, reward in rows:
-            ret = reward + gamma * later
-            later = ret * mask
-            yield traj, uid, pos, mask, ret
+    def step(state: tuple, mask: int, reward: float) -> tuple:
+        ret = reward + gamma * state[1]
+        return ret, ret * mask
 
-    kind = dict(tokens.dtypes)
     plain = tokens.select("traj_id", "uid", "pos", F.col("mask").cast("int").alias("mask"), F.col("reward").cast("double").alias("reward"))
-    flat = streamed_rows(plain, "traj_id", "pos", run, f"traj_id {kind['traj_id']}, uid {kind['uid']}, pos {kind['pos']}, mask int, ret double", descending=True)
-    return whiten(flat, "ret", "mask", "white").select("traj_id", "uid", "pos", (F.col("white") * F.col("mask")).alias("advantage"), "ret")
+    flat = streamed_scan(plain, "traj_id", "pos", ["mask", "reward"], (0.0, 0.0), step, "ret", descending=True)
+    return whiten(cut(flat), "ret", "mask", "white").select("traj_id", "uid", "pos", (F.col("white") * F.col("mask")).alias("advantage"), "ret")
 
 
 @estimator("multi_trajectory")

@@ -50,3 +50,24 @@ def streamed_rows(rows: DataFrame, key: str, order: str, run: Callable[[Iterator
             yield pd.DataFrame(out, columns=names)
 
     return rows.repartition(key).sortWithinPartitions(key, F.desc(order) if descending else order).mapInPandas(work, schema)
+
+
+def streamed_scan(rows: DataFrame, key: str, order: str, inputs: list[str], start: tuple, step: Callable[..., tuple], out: str, descending: bool = False) -> DataFrame:
+    """rows with ``out``, the first part of a state (double) that ``step`` (state, *inputs) carries from row to row of a group.
+
+    Groups stream past in order like in :func:`streamed_rows`; columns stay arrays.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state, begun = None, start, False
+        for pdf in batches:
+            made = []
+            for name, *values in zip(pdf[key].tolist(), *(pdf[c].tolist() for c in inputs), strict=True):
+                if name != last or not begun:
+                    last, state, begun = name, start, True
+                state = step(state, *values)
+                made.append(state[0])
+            yield pdf.assign(**{out: made})
+
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + f", {out} double"
+    return rows.repartition(key).sortWithinPartitions(key, F.desc(order) if descending else order).mapInPandas(work, schema)

@@ -40,9 +40,11 @@ def scratch(spark: SparkSession, shared: bool = False) -> str:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Remove this application's own folder; no frame that reads from it may be used afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove this application's own folder and the state kept about files; no frame that reads from it may be used
+    afterwards."""
+    for folder in (scratch(spark), scratch(spark, shared=True)):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -159,3 +159,25 @@ def test_scratch_is_cleared(spark):
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     session.clear_scratch(spark)
     assert not fs.exists(hadoop)
+
+
+def test_reward_managers(spark, tmp_path):
+    from millrace.functions import rewards
+
+    (tmp_path / "own.py").write_text("def own(source, response, truth, extra):\n    return {'score': float(response == truth), 'style': 0.5, 'tag': extra}\n\ndef many(sources, responses, truths, extras):\n    return [len(r or '') for r in responses]\n")
+    responses = spark.createDataFrame([(1, "gsm8k", "#### 4", "4", "e"), (2, "gsm8k", "none", "none", None)], "traj_id int, data_source string, response string, truth string, extra string")
+    tokens = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (1, 2, 0), (2, 0, 1)], "traj_id int, pos int, mask int")
+    by = lambda df: {(r.traj_id, r.pos): r.reward for r in df.collect()}
+    assert by(rewards.rewards("naive", responses, tokens)[0]) == {(1, 0): 0.0, (1, 1): 1.0, (1, 2): 0.0, (2, 0): 0.0}
+    own = rewards.custom(rewards.load_function(str(tmp_path / "own.py"), "own"))
+    rewarded, scored = rewards.rewards("gdpo", responses, tokens, scorer=own, keys=("style",))
+    assert by(rewarded)[(2, 0)] == 1.0 and {r.traj_id: (r.score, r.style, r.extras["tag"]) for r in scored.collect()} == {1: (0.0, 0.5, "e"), 2: (1.0, 0.5, "None")}
+    many = rewards.custom(rewards.load_function(str(tmp_path / "own.py"), "many"), batch=True)
+    assert by(rewards.rewards("batch", responses, tokens, scorer=many)[0])[(1, 1)] == 6.0
+    rewarded, scored = rewards.rewards("dapo", responses, tokens, most=3, buffer=2)
+    assert {r.traj_id: (r.acc, r.overlong_reward, r.score) for r in scored.collect()} == {1: (1.0, -0.5, 0.5), 2: (0.0, 0.0, 0.0)}
+    assert [f.columns for f in rewards.extracted(rewarded, scored, ["acc", "none"])] == [["traj_id", "pos", "reward"], ["traj_id", "acc"]]
+    with pytest.raises(ValueError, match="unknown reward manager"):
+        rewards.rewards("other", responses, tokens)
+    with pytest.raises(AttributeError, match="no function"):
+        rewards.load_function(str(tmp_path / "own.py"), "missing")
