@@ -10,10 +10,10 @@ import importlib.util
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scorers import SCORERS, at_last_token, overlong_penalty, score
+from .scorers import at_last_token, overlong_penalty, score
 
 Manager = Callable[..., tuple[DataFrame, DataFrame]]
 MANAGERS: dict[str, Manager] = {}
@@ -112,8 +112,3 @@ def rewards(name: str, responses: DataFrame, tokens: DataFrame, **options: objec
 def extracted(rewarded: DataFrame, scored: DataFrame, extras: list[str]) -> tuple[DataFrame, DataFrame]:
     """(token rewards, extras by trajectory): what goes on to the estimators."""
     return rewarded.select("traj_id", "pos", "reward"), scored.select("traj_id", *(c for c in extras if c in scored.columns))
-
-
-def known_source(source: Column) -> Column:
-    """Whether a source has a registered scorer."""
-    return source.isin(*SCORERS)

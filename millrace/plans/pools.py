@@ -80,7 +80,15 @@ def _lengths(s: SparkSession, d: str) -> DataFrame:
 
 
 BOOK.add("b1_differencing", lambda s, d: balance.imbalance(balance.balanced(_lengths(s, d), "batch", "idx", "len", 8), "batch", "part", "len"))
-BOOK.add("b2_greedy", lambda s, d: balance.imbalance(balance.balanced(_lengths(s, d), "batch", "idx", "len", 8, method="greedy"), "batch", "part", "len"))
+BOOK.add(
+    "b2_greedy",
+    lambda s, d: balance.imbalance(balance.balanced(_lengths(s, d), "batch", "idx", "len", 8, method="greedy"), "batch", "part", "len"),
+    """WITH RECURSIVE l AS (SELECT o_orderkey // 64 AS batch, row_number() OVER (PARTITION BY o_orderkey // 64 ORDER BY o_orderkey) AS n, o_custkey % 900 + 10 AS len FROM orders
+    ), f AS (SELECT DISTINCT batch, 0::BIGINT AS n, [0::BIGINT FOR x IN range(8)] AS s FROM l UNION ALL
+      SELECT l.batch, l.n, [CASE WHEN x + 1 = list_position(f.s, list_min(f.s)) THEN f.s[x + 1] + l.len ELSE f.s[x + 1] END FOR x IN range(8)] FROM f JOIN l ON l.batch = f.batch AND l.n = f.n + 1
+    ), e AS (SELECT batch, max(n) AS n FROM l GROUP BY 1)
+    SELECT f.batch, list_min(s) AS min, list_max(s) AS max, list_max(s) - list_min(s) AS diff FROM f JOIN e ON e.batch = f.batch AND e.n = f.n""",
+)
 BOOK.add("b4_micro_batches", lambda s, d: balance.micro_batches(_lengths(s, d), "batch", "idx", "len", 4000))
 BOOK.add(
     "a34_contiguous_imbalance",

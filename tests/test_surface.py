@@ -101,6 +101,14 @@ def test_artifact_join_and_disjointness(spark):
     assert rows(joins.duplicates(made.union(made), "k").orderBy("k")) == [("a", 2), ("x", 2)] and joins.overlap(made, spare, "k").count() == 1
 
 
+def test_teacher_tokens_line_up(spark):
+    teacher = spark.createDataFrame([("a", 0, 7, -0.5), ("a", 1, 8, -0.1)], "k string, pos int, token int, logp double")
+    student = spark.createDataFrame([("a", 2, 7, 2), ("a", 3, 8, 2), ("a", 4, 9, 2)], "k string, pos int, token int, shift int")
+    assert sorted((r.pos, r.token, r.logp or 0.0) for r in joins.align_tokens(teacher, student, "k").collect()) == [(2, 7, -0.5), (3, 8, -0.1), (4, 9, 0.0)]
+    with pytest.raises(PySparkException, match="line up"):
+        joins.align_tokens(teacher, student.withColumn("token", F.lit(1)), "k").collect()
+
+
 def test_sections_of_validation(spark):
     m = spark.createDataFrame([("d", "acc", "mean@4", 4, 4), ("d", "acc", "mean@2", 2, 4), ("d", "reward", "mean@4", 4, 4), ("e", "reward", "best@4/mean", 4, 4), ("e", "reward", "worst@4/mean", 4, 4)], "data_source string, var string, name string, n int, top_n int")
     assert [r.section for r in metrics.validation_core(m).orderBy("data_source", "var", F.desc("n"), "name").collect()] == ["val-core", "val-aux", "val-aux", "val-core", "val-aux"]
