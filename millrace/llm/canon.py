@@ -246,10 +246,16 @@ def _unit(match: re.Match) -> str:
     return _remembered(unit) if len(unit) <= 32 else _rewrite(unit)
 
 
+@lru_cache(maxsize=100_000)
+def _stretch(part: str) -> str:
+    return UNIT.sub(_unit, part)
+
+
 def canonical(text: str) -> str:
     """The one form of ``text``. Idempotent. Letter case, accents, punctuation and the number of blanks are kept."""
     if not text.isascii():
-        text = UNIT.sub(_unit, text)
+        # no unit reaches over a plain blank, and most stretches between blanks are ASCII or come again
+        text = " ".join([part if part.isascii() else _stretch(part) if len(part) <= 32 else UNIT.sub(_unit, part) for part in text.split(" ")])
     return text if text.isprintable() else CONTROLS.sub(" ", text)
 
 
