@@ -189,3 +189,49 @@ def test_reward_managers(spark, tmp_path):
         rewards.rewards("other", responses, tokens)
     with pytest.raises(AttributeError, match="no function"):
         rewards.load_function(str(tmp_path / "own.py"), "missing")
+
+
+def test_isolation_and_retries(spark):
+    from millrace.operators import control
+
+    def halve(pdf):
+        if (pdf["v"] % 5 == 0).any():
+            raise ValueError("bad five")
+        return pdf.assign(half=pdf["v"] / 2)
+
+    df = spark.createDataFrame([(f"k{v}", v) for v in range(1, 21)], "k string, v int")
+    got = {r.k: (r.half, r.error) for r in control.isolated(df, halve, "k string, half double", "k", attempts=2).collect()}
+    assert len(got) == 20 and got["k4"] == (2.0, None) and got["k10"] == (None, "ValueError: bad five") and sum(e is not None for _, e in got.values()) == 4
+    assert control.isolated(df.limit(0), halve, "k string, half double", "k").count() == 0
+
+    def run(rows, attempt):
+        seen.append(rows.count())
+        return rows.select("k", F.lit(attempt).alias("n"), (F.col("v") % 4 < attempt).alias("json_valid"))
+
+    seen = []
+    done = control.retried(df, "k", run, F.col("json_valid"), 3).collect()
+    assert seen == [20, 15, 10] and len(done) == 20 and {(r.attempts, r.json_valid) for r in done} == {(1, True), (2, True), (3, True), (3, False)}
+    seen = []
+    assert control.retried(df.where("v = 4"), "k", run, F.col("json_valid"), 3).count() == 1 and seen == [1]
+
+
+def test_recovery_pauses_and_ablations(spark):
+    from millrace.operators import control
+
+    whole = json.dumps({"visual_evidence": "a", "textual_evidence": "b", "explanation": "c", "label": "sarcastic"})
+    kind = "struct<visual_evidence:string,textual_evidence:string,explanation:string,label:string>"
+    df = spark.createDataFrame([(1, "<think>x</think>" + whole, None, "old error"), (2, "junk", None, "old error"), (3, "junk", ("p", "q", "r", "s"), None)], f"n int, raw_output string, analysis {kind}, error string")
+    got = {r.n: (r.analysis and r.analysis.explanation, r.error) for r in control.recovered(df).collect()}
+    assert got == {1: ("c", None), 2: (None, "old error"), 3: ("r", None)}
+    marks = control.Pauses(spark, None, "pauses")
+    assert not marks.paused
+    for _ in range(2):
+        marks.pause()
+        marks.pause()
+        assert control.Pauses(spark, marks.home).paused
+        marks.resume()
+        assert not control.Pauses(spark, marks.home).paused
+    columns = {"text": F.lit("t"), "teacher": F.lit("a"), "student": F.lit("b")}
+    assert [sorted(control.ablated(columns, m)) for m in ("none", "teacher_only", "comparative")] == [["text"], ["teacher", "text"], ["student", "teacher", "text"]]
+    with pytest.raises(ValueError, match="unknown mode"):
+        control.ablated(columns, "both")
