@@ -343,10 +343,15 @@ def neighbours(index: BlockMaxIndex, batches: Iterator[pd.DataFrame]) -> Iterato
     """(place, words) -> (place, windows, window, example, cosine): the loosely nearest examples of each window of a
     document, by numbers that no label changes."""
     for pdf in batches:
-        for place, words in zip(pdf["place"], pdf["words"], strict=True):
-            terms, _ = windows([words])
-            window, found, cosines = index.search(*index.weights.of(terms), LOOSE, LOOSE_FLOOR)
-            yield pd.DataFrame({"place": [place], "windows": [len(terms)], "window": [window], "example": [index.number[found]], "cosine": [cosines]})
+        terms, owner = windows(pdf["words"].to_list())
+        window, found, cosines = index.search(*index.weights.of(terms), LOOSE, LOOSE_FLOOR)
+        begin = np.searchsorted(owner, np.arange(len(pdf) + 1))  # windows of a document, and what was found for them
+        edge = np.searchsorted(window, begin)
+        own = [slice(lo, hi) for lo, hi in zip(edge, edge[1:])]
+        yield pd.DataFrame({
+            "place": pdf["place"], "windows": np.diff(begin).astype(np.int32), "window": [(window[x] - first).astype(np.int32) for x, first in zip(own, begin)],
+            "example": [index.number[found[x]].astype(np.int32) for x in own], "cosine": [cosines[x] for x in own],
+        })
 
 
 def cleaned(index: BlockMaxIndex, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
