@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .records import strip
 
-#: Sections of a comparative prompt, in order: title and column; a null section is left out.
+# Sections of a comparative prompt, in order: title and column; a null section is left out.
 SECTIONS = (("POST TEXT", "text"), ("TEACHER BLIND REASONING", "teacher"), ("STUDENT BLIND REASONING", "student"), ("GROUND-TRUTH REFERENCE REASONING", "reference"), ("GOLD LABEL", "gold_label"))
 
 

@@ -311,6 +311,7 @@ def _calls(text: str) -> list[dict]:
     return [json.loads(line) for line in text.split("<tool_call>")[1].split("</tool_call>")[0].strip().split("\n")]
 
 
+# The layout of a response by whether the truth has tool calls and a response, and what must be there once.
 _LAYOUT = {
     (False, True): (r"^<think>.*?</think>\n<response>.*?</response>$", ("<response>",)),
     (True, False): (r"^<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>$", ("<tool_call>",)),
